@@ -10,6 +10,7 @@ from lumenlog.llm.common import table
 from lumenlog.llm.mixing import mix
 from lumenlog.llm.quality import QUALITY_SQL, quality_report
 from lumenlog.llm.simhash import near_duplicates
+from lumenlog.llm.suffix import suffix_dedup
 from lumenlog.llm.tokens import TOKENIZER, token_counts
 
 
@@ -17,6 +18,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,7 +37,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op5_token_counts, op6_quality_rules, op9_mixing)}
+    return {f.__name__: f for f in (op2_simhash, op3_suffix_array_dedup, op5_token_counts, op6_quality_rules, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
