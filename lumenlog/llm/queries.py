@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenlog.llm.common import table
+from lumenlog.llm.decontam import contamination
+from lumenlog.llm.lm import lm_scores
 from lumenlog.llm.mixing import mix
 from lumenlog.llm.quality import QUALITY_SQL, quality_report
 from lumenlog.llm.simhash import near_duplicates
@@ -14,6 +16,10 @@ from lumenlog.llm.suffix import suffix_dedup
 from lumenlog.llm.tokens import TOKENIZER, token_counts
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,8 +42,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_suffix_array_dedup, op5_token_counts, op6_quality_rules, op9_mixing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_suffix_array_dedup, op5_token_counts, op6_quality_rules, op9_mixing, op10_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
