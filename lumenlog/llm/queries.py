@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenlog.llm.chat import as_events, digests
 from lumenlog.llm.common import table
 from lumenlog.llm.decontam import contamination
+from lumenlog.llm.html import main_texts
 from lumenlog.llm.lm import lm_scores
 from lumenlog.llm.mixing import mix
 from lumenlog.llm.quality import QUALITY_SQL, quality_report
@@ -30,6 +31,10 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,7 +65,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_suffix_array_dedup, op5_token_counts, op6_quality_rules, op7_toxicity, op8_chat_formatting, op9_mixing, op10_lm_scores)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_suffix_array_dedup, op4_html_extraction, op5_token_counts, op6_quality_rules, op7_toxicity, op8_chat_formatting, op9_mixing, op10_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
