@@ -27,6 +27,8 @@ ENDS_WELL = r"[.!?…。！？][\"'\)\]»”’]*[\x20\x09-\x0D]*$"
 SHOUTS = r"[!?]{2,}[\"'\)\]»”’]*[\x20\x09-\x0D]*$"
 #: Menus: two or more separators that stand between blanks, or a trail of arrows.
 NAVIGATION = r"(?:(?:^|[\x20\x09])(?:\||»|>|/|•|·)(?:[\x20\x09].*[\x20\x09]|[\x20\x09])(?:\||»|>|/|•|·)(?:[\x20\x09]|$))|[\x20\x09]\|[\x20\x09]*$"
+#: Tripled marks, twice or more in a line.
+MARKS = r"(?:###|[$]{3}|%%%|&&&|[*]{3}|<<<|>>>|[|]{3}).*(?:###|[$]{3}|%%%|&&&|[*]{3}|<<<|>>>|[|]{3})"
 BOILERPLATE = (
     r"(?i)\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|use of cookies|"
     r"accept (?:all )?cookies|enable javascript|requires javascript|click here|sign up for our newsletter|"
@@ -74,7 +76,7 @@ def _covered(windows: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Punctuation, navigation and boilerplate rules for one line that has a word."""
-    return ~line.rlike(ENDS_WELL) | line.rlike(SHOUTS) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
+    return ~line.rlike(ENDS_WELL) | line.rlike(SHOUTS) | line.rlike(MARKS) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
 
 
 def quality(docs: DataFrame, text: str = "text", min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
@@ -140,6 +142,7 @@ m AS (SELECT rid,
         coalesce(sum(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (has_word
           AND regexp_matches(x, '[.!?…。！？]["''\)\]»”’]*[\x20\x09-\x0D]*$')
           AND NOT regexp_matches(x, '[!?]{2,}["''\)\]»”’]*[\x20\x09-\x0D]*$')
+          AND NOT regexp_matches(x, '(?:###|[$]{3}|%%%|&&&|[*]{3}|<<<|>>>|[|]{3}).*(?:###|[$]{3}|%%%|&&&|[*]{3}|<<<|>>>|[|]{3})')
           AND NOT regexp_matches(x, '(?:(?:^|[\x20\x09])(?:\||»|>|/|•|·)(?:[\x20\x09].*[\x20\x09]|[\x20\x09])(?:\||»|>|/|•|·)(?:[\x20\x09]|$))|[\x20\x09]\|[\x20\x09]*$')
           AND NOT regexp_matches(x, '(?i)\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|use of cookies|accept (?:all )?cookies|enable javascript|requires javascript|click here|sign up for our newsletter|subscribe to our|lorem ipsum|skip to (?:main )?content|back to top)\b')
         ), 0) AS kept_chars
