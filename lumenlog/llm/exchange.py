@@ -16,13 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
 PART_BYTES = 16 << 20
 
 
-def counts_for(total: int) -> tuple[int, int]:
+def counts_for(total: int, chunk_bytes: int) -> tuple[int, int]:
     """Chunks and parts for so many bytes of text."""
-    return max(1, -(-total // CHUNK_BYTES)), max(12, -(-total // PART_BYTES))
+    return max(1, -(-total // chunk_bytes)), max(12, -(-total // PART_BYTES))
 
 
 def chunked(docs: DataFrame, chunks: int, rest: bool = False) -> DataFrame:

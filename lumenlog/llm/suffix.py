@@ -8,10 +8,13 @@ A byte is removed if it lies in a 100-byte string that also starts earlier
    anchors to the parts of the key space, which answer which ones occur in more
    than one run of windows; text under other anchors can't repeat.
 2. Chunks cut out the runs of windows under repeated anchors and send each
-   distinct run once, with its first place, to the shard of its anchor. An
-   anchor with over ``HOT`` runs is sent window by window, each under a hash of
-   its own content, so that a passage in a third of all documents is dealt over
-   all shards.
+   distinct run once, with its first place, to the shard of its anchor. Anchors
+   with up to ``FEW`` runs go to a shard chosen by the set of chunks that hold
+   them, as neighbouring anchors of a copied passage do, and neighbouring runs
+   for one shard travel as one; others go by their own hash, run by run, as most
+   of their runs are alike. An anchor with over ``HOT`` runs is sent window by
+   window, each under a hash of its own content, so that a passage in a third of
+   all documents is dealt over all shards.
 3. A shard joins its distinct runs, in the order of their first places, to one
    text, builds its suffix array by induced sorting and the permuted common
    prefixes, and groups the windows with 100 common bytes. All but the least of
@@ -41,18 +44,21 @@ from pyspark.sql import types as T
 
 from lumenlog.llm.common import cut, text_bytes
 from lumenlog.llm.exchange import chunked, counts_for, part_of, split
-from lumenlog.llm.hashing import sliding_min, window_hashes
+from lumenlog.llm.hashing import mix64, sliding_min, window_hashes
 from lumenlog.llm.induced import permuted_prefixes, suffix_array
 
 LENGTH = 100
 GRAM = 16
+#: Runs of anchors with at most this many are joined with their neighbours.
+FEW = 8
 #: An anchor with more runs than this is dealt window by window.
 HOT = 5000
+CHUNK_BYTES = 2 << 20
 #: Shards hold about one such share of the text's bytes.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 
 _ASK = "part long, chunk long, anchors binary, runs binary, texts binary, owners binary"
-_KNOWN = "chunk long, anchors binary, hot binary, texts binary, owners binary"
+_KNOWN = "chunk long, anchors binary, shards binary, kinds binary, texts binary, owners binary"
 _RUNS = "shard long, chunk long, sizes binary, doc binary, at binary, again binary, body binary"
 _LATER = "chunk long, hash binary, sizes binary, first binary, later binary"
 _NULL_ID = np.iinfo(np.int64).min
@@ -90,11 +96,11 @@ class Chunk:
             z = np.zeros(0, np.int64)
             return least, z, z, z, z
         # Windows that cross documents end a run and belong to none.
-        cross = np.zeros(n + 1, np.int32)
-        np.add.at(cross, np.minimum(np.maximum(self.end - length + 1, self.start), n), 1)
-        np.add.at(cross, np.minimum(self.end, n), -1)
-        inside = np.cumsum(cross[:n]) == 0
-        new = np.concatenate([[True], (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])])
+        across = np.minimum(self.size, length - 1)
+        inside = np.repeat(np.tile([True, False], len(self.size)), np.column_stack([self.size - across, across]).ravel())[:n]
+        new = np.ones(n, bool)
+        np.not_equal(least[1:], least[:-1], out=new[1:])
+        new[1:] |= inside[1:] != inside[:-1]
         # Neighbouring documents are always parted by crossing windows, as length > 1.
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, n))
@@ -102,6 +108,7 @@ class Chunk:
         # A window starts with its anchor and the next one, without it, has the same anchor.
         twice = np.flatnonzero((grams[: n - 1] == least[:-1]) & ~new[1:])
         places[np.searchsorted(at, twice, side="right") - 1] = 2
+        del grams
         good = inside[at]
         at, size, places = at[good], size[good], places[good]
         return least[at], at, size, np.searchsorted(self.end, at, side="right"), places
@@ -130,15 +137,24 @@ def _ask(parts: int, length: int, gram: int):
     return run
 
 
-def _know(hot: int):
+def _know(shards: int, hot: int):
     def run(key, t):
         chunk = t["chunk"].to_numpy()
         sets = [np.frombuffer(b, np.uint64) for b in t["anchors"].to_pylist()]
         anchors = np.concatenate(sets)
         runs = np.frombuffer(b"".join(t["runs"].to_pylist()), np.uint32).astype(np.int64)
         of = np.repeat(chunk, [len(s) for s in sets])
-        u, inverse = np.unique(anchors, return_inverse=True)
-        total = np.bincount(inverse, weights=runs).astype(np.int64)[inverse] if len(u) else runs
+        order = np.argsort(anchors, kind="stable")
+        anchors, runs, of = anchors[order], runs[order], of[order]
+        new = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])) if len(anchors) else np.zeros(0, np.int64)
+        holders = np.diff(np.append(new, len(anchors)))
+        total, key = runs, anchors
+        if len(anchors):
+            total = np.repeat(np.add.reduceat(runs, new), holders)
+            # The set of holding chunks as a sum, which neighbouring anchors share.
+            key = np.repeat(mix64(np.add.reduceat(mix64(of.astype(np.uint64) + np.uint64(1)), new)), holders)
+        kind = np.where(total > hot, 2, np.where(total > FEW, 1, 0)).astype(np.uint8)
+        shard = part_of(np.where(kind == 0, key, anchors), shards).astype(np.int32)
         more = total > 1
         texts = np.frombuffer(b"".join(t["texts"].to_pylist()), np.uint64).reshape(-1, 2)
         owners = np.frombuffer(b"".join(t["owners"].to_pylist()), np.int64)
@@ -150,11 +166,10 @@ def _know(hot: int):
         # A chunk learns of a text that another one owns.
         copy = ~new
         out = []
-        blank = {"anchors": b"", "hot": b"", "texts": b"", "owners": b""}
-        anchors, of, busy = anchors[more], of[more], (total[more] > hot)
-        names, at = np.unique(of, return_inverse=True)
-        for k, (a, b) in split(at, len(names) or 1, anchors, busy):
-            out.append(blank | {"chunk": int(names[k]), "anchors": _pack(a), "hot": _pack(b)})
+        blank = {"anchors": b"", "shards": b"", "kinds": b"", "texts": b"", "owners": b""}
+        names, at = np.unique(of[more], return_inverse=True)
+        for k, (a, b, c) in split(at, len(names) or 1, anchors[more], shard[more], kind[more]):
+            out.append(blank | {"chunk": int(names[k]), "anchors": _pack(a), "shards": _pack(b), "kinds": _pack(c)})
         names, at = np.unique(holder[copy], return_inverse=True)
         for k, (x, i) in split(at, len(names) or 1, texts[copy], owners[lead[copy]]):
             out.append(blank | {"chunk": int(names[k]), "texts": _pack(x), "owners": _pack(i)})
@@ -164,30 +179,35 @@ def _know(hot: int):
 
 
 class Cuts:
-    """The runs of a chunk that may repeat: positions, sizes and shard keys, in order."""
+    """The runs of a chunk that may repeat: positions, windows, shards and hashes, in order."""
 
-    def __init__(self, c: Chunk, known: pa.Table, length: int, gram: int):
-        sets = [np.frombuffer(b, np.uint64) for b in known["anchors"].to_pylist()]
-        anchors = np.concatenate([*sets, np.zeros(0, np.uint64)])
-        hot = np.frombuffer(b"".join(known["hot"].to_pylist()), bool)
+    def __init__(self, c: Chunk, known: pa.Table, shards: int, length: int, gram: int):
+        anchors = np.frombuffer(b"".join(known["anchors"].to_pylist()), np.uint64)
+        goal = np.frombuffer(b"".join(known["shards"].to_pylist()), np.int32)
+        kinds = np.frombuffer(b"".join(known["kinds"].to_pylist()), np.uint8)
         order = np.argsort(anchors)
-        anchors, hot = anchors[order], hot[order]
+        anchors, goal, kinds = anchors[order], goal[order], kinds[order]
         self.copy = copies(c, known)
         anchor, at, size, doc, _ = c.runs(length, gram)
         place = np.minimum(np.searchsorted(anchors, anchor), max(0, len(anchors) - 1))
-        keep = (anchors[place] == anchor) if len(anchors) else np.zeros(len(anchor), bool)
-        keep &= ~self.copy[doc] if len(doc) else keep
-        anchor, at, size, place = anchor[keep], at[keep], size[keep], place[keep]
-        busy = hot[place] if len(place) else np.zeros(0, bool)
-        if busy.any():
+        keep = (anchors[place] == anchor) & ~self.copy[doc] if len(anchors) else np.zeros(len(anchor), bool)
+        at, size, place = at[keep], size[keep], place[keep]
+        kind, shard = kinds[place], goal[place].astype(np.int64)
+        # Neighbouring runs for one shard become one.
+        tied = np.zeros(len(at), bool)
+        tied[1:] = (kind[1:] == 0) & (kind[:-1] == 0) & (shard[1:] == shard[:-1]) & (at[:-1] + size[:-1] == at[1:])
+        head = np.flatnonzero(~tied)
+        if len(head) < len(at):
+            size = np.add.reduceat(size, head)
+            at, kind, shard = at[head], kind[head], shard[head]
+        if (kind == 2).any():
             # Windows of hot anchors one by one.
-            many = np.where(busy, size, 1)
+            many = np.where(kind == 2, size, 1)
+            single = np.repeat(kind == 2, many)
             at = np.repeat(at, many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-            size = np.where(np.repeat(busy, many), 1, np.repeat(size, many))
-            anchor = np.repeat(anchor, many)
-            single = np.repeat(busy, many)
-            anchor[single] = _window_keys(c, at[single], length)
-        self.anchor, self.at, self.size = anchor, at, size
+            size, shard = np.where(single, 1, np.repeat(size, many)), np.repeat(shard, many)
+            shard[single] = part_of(_window_keys(c, at[single], length), shards)
+        self.at, self.size, self.shard = at, size, shard
         text = memoryview(c.text)
         self.hash = [xxhash.xxh3_128_digest(text[a : a + s + length - 1]) for a, s in zip(at.tolist(), size.tolist())]
 
@@ -215,7 +235,7 @@ def _cut(shards: int, length: int, gram: int):
         rows = []
         if left.num_rows:
             c = Chunk(left["doc_id"], left["raw"])
-            cuts = Cuts(c, right, length, gram)
+            cuts = Cuts(c, right, shards, length, gram)
             first: dict[bytes, int] = {}
             again = np.zeros(len(cuts.hash), np.uint32)
             for k, h in enumerate(cuts.hash):
@@ -223,7 +243,7 @@ def _cut(shards: int, length: int, gram: int):
             one = np.fromiter(first.values(), np.int64, len(first))
             at, size = cuts.at[one], cuts.size[one] + length - 1
             doc = np.searchsorted(c.end, at, side="right")
-            for s, (a, n, d, g) in split(part_of(cuts.anchor[one], shards), shards, at, size, doc, again[one]):
+            for s, (a, n, d, g) in split(cuts.shard[one], shards, at, size, doc, again[one]):
                 body = b"".join(c.text[x : x + y].tobytes() for x, y in zip(a.tolist(), n.tolist()))
                 rows.append({"shard": s, "chunk": key[0].as_py(), "sizes": _pack(n), "doc": _pack(c.ids[d]), "at": _pack(a - c.start[d]), "again": _pack(g), "body": body})
         return pa.Table.from_pylist(rows, schema=_schema(_RUNS))
@@ -324,7 +344,7 @@ def _removed(c: Chunk, cuts: Cuts, told: pa.Table, length: int) -> np.ndarray:
     return gone
 
 
-def _result(length: int, gram: int, rest: bool):
+def _result(shards: int, length: int, gram: int, rest: bool):
     def run(key, left, right):
         schema = _schema(_OUT)
         if rest:
@@ -332,7 +352,7 @@ def _result(length: int, gram: int, rest: bool):
         if not left.num_rows:
             return schema.empty_table()
         c = Chunk(left["doc_id"], left["raw"])
-        cuts = Cuts(c, right.filter(pc.invert(right["kind"])), length, gram)
+        cuts = Cuts(c, right.filter(pc.invert(right["kind"])), shards, length, gram)
         gone = _removed(c, cuts, right.filter(right["kind"]), length)
         marks = [gone[a:b] for a, b in zip(c.start.tolist(), c.end.tolist())]
         kept = [c.text[a:b][~g].tobytes() for a, b, g in zip(c.start.tolist(), c.end.tolist(), marks)]
@@ -361,20 +381,20 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     ``rest``: the kept text and a struct of the other columns of ``docs`` follow.
     """
     total = text_bytes(docs)
-    chunks, parts = counts_for(total)
+    chunks, parts = counts_for(total, CHUNK_BYTES)
     shards = max(12, -(-total // SHARD_BYTES))
     texts = chunked(docs, chunks, rest)
     asked = texts.groupBy("chunk").applyInArrow(_ask(parts, length, gram), _ASK)
-    known = cut(asked.groupBy("part").applyInArrow(_know(hot), _KNOWN))
+    known = cut(asked.groupBy("part").applyInArrow(_know(shards, hot), _KNOWN))
     runs = texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_cut(shards, length, gram), _RUNS)
     later = cut(runs.groupBy("shard").applyInArrow(_shard(length), _LATER))
     none = F.lit(None).cast("binary")
-    news = known.select("chunk", F.lit(False).alias("kind"), "anchors", "hot", "texts", "owners", *[none.alias(n) for n in ("hash", "sizes", "first", "later")])
-    news = news.union(later.select("chunk", F.lit(True), *[none] * 4, "hash", "sizes", "first", "later"))
+    news = known.select("chunk", F.lit(False).alias("kind"), "anchors", "shards", "kinds", "texts", "owners", *[none.alias(n) for n in ("hash", "sizes", "first", "later")])
+    news = news.union(later.select("chunk", F.lit(True), *[none] * 5, "hash", "sizes", "first", "later"))
     out = T.StructType.fromDDL(_OUT)
     if rest:
         out = out.add("kept", "string").add("rest", texts.schema["rest"].dataType)
-    return texts.groupBy("chunk").cogroup(news.groupBy("chunk")).applyInArrow(_result(length, gram, rest), out)
+    return texts.groupBy("chunk").cogroup(news.groupBy("chunk")).applyInArrow(_result(shards, length, gram, rest), out)
 
 
 def rewrite(docs: DataFrame, length: int = LENGTH) -> DataFrame:
