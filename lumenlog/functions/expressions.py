@@ -35,7 +35,7 @@ _COMPARE = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b
 
 def truth(v: Value) -> Column:
     """A condition that is never null."""
-    return F.coalesce(convert(v, BOOL).col, F.lit(False))
+    return v.col if v.kind == BOOL and not v.nan else F.coalesce(convert(v, BOOL).col, F.lit(False))
 
 
 def _arithmetic(op: str, a: Value, b: Value) -> Value:
@@ -56,12 +56,13 @@ def _arithmetic(op: str, a: Value, b: Value) -> Value:
 def _equal(a: Value, b: Value) -> Column:
     a, b = common(a, b)
     same = a.col.eqNullSafe(b.col)
-    if a.kind == NUMBER:
+    if a.kind == NUMBER and a.nan and b.nan:
         return same & ~F.coalesce(F.isnan(a.col), F.lit(False))
     return same
 
 
 def _ordered(op: str, a: Value, b: Value) -> Column:
+    """A comparison that is null or false where it doesn't hold."""
     a, b = common(a, b)
     if a.kind in (STRING, BOOL):
         if STRING == a.kind:
@@ -71,14 +72,16 @@ def _ordered(op: str, a: Value, b: Value) -> Column:
             raise QueryError(f"{op} isn't defined for {a.kind}")
     good = _COMPARE[op](a.col, b.col)
     if a.kind == NUMBER:
-        good = good & ~F.isnan(a.col) & ~F.isnan(b.col)
-    return F.coalesce(good, F.lit(False))
+        for side in (a, b):
+            if side.nan:
+                good = good & ~F.isnan(side.col)
+    return good
 
 
 def compile_expression(node: object, resolve: Resolve) -> Value:
     if isinstance(node, Literal):
         kind = BOOL if isinstance(node.value, bool) else NUMBER if isinstance(node.value, float) else STRING
-        return Value(F.lit(node.value), kind)
+        return Value(F.lit(node.value), kind, nan=False)
     if isinstance(node, Field):
         return resolve(node.name)
     if isinstance(node, Unary):
@@ -87,7 +90,7 @@ def compile_expression(node: object, resolve: Resolve) -> Value:
             return Value(~truth(inner), BOOL)
         if inner.kind == DURATION:
             return Value(-inner.col, DURATION)
-        return Value(-convert(inner, NUMBER).col, NUMBER)
+        return Value(-convert(inner, NUMBER).col, NUMBER, inner.nan)
     if isinstance(node, Call):
         args = [compile_expression(a, resolve) for a in node.args]
         return call(node.name, args, [a.value if isinstance(a, Literal) else None for a in node.args])
@@ -96,14 +99,23 @@ def compile_expression(node: object, resolve: Resolve) -> Value:
         if node.op in _ARITHMETIC:
             return _arithmetic(node.op, a, b)
         if node.op == "==":
-            return Value(_equal(a, b), BOOL)
+            return Value(_equal(a, b), BOOL, nan=False)
         if node.op == "!=":
-            return Value(~_equal(a, b), BOOL)
+            return Value(~_equal(a, b), BOOL, nan=False)
         if node.op in _COMPARE:
-            return Value(_ordered(node.op, a, b), BOOL)
+            return Value(F.coalesce(_ordered(node.op, a, b), F.lit(False)), BOOL, nan=False)
         x, y = truth(a), truth(b)
         return Value(x & y if node.op == "and" else x | y if node.op == "or" else x != y, BOOL)
     raise QueryError(f"{node!r} can't stand here")
 
 
-__all__ = ["NULL", "compile_expression", "truth"]
+def condition(node: object, resolve: Resolve) -> Column:
+    """An expression as a filter: conjuncts stay apart and plain comparisons bare, so that scans can take them."""
+    if isinstance(node, Binary) and node.op == "and":
+        return condition(node.left, resolve) & condition(node.right, resolve)
+    if isinstance(node, Binary) and node.op in _COMPARE:
+        return _ordered(node.op, compile_expression(node.left, resolve), compile_expression(node.right, resolve))
+    return truth(compile_expression(node, resolve))
+
+
+__all__ = ["NULL", "compile_expression", "condition", "truth"]

@@ -22,6 +22,8 @@ NUMERIC_TEXT = r"^[\s]*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?[\s]*$"
 class Value:
     col: Column
     kind: str
+    #: Whether a number may be NaN or a truth null; where not, no guards are needed.
+    nan: bool = True
 
 
 def kind_of(data_type: T.DataType) -> str:
@@ -42,7 +44,7 @@ def from_field(col: Column, data_type: T.DataType) -> Value:
     """A field as the language sees it: all numbers are doubles, all times have no zone."""
     kind = kind_of(data_type)
     if kind == NUMBER:
-        return Value(col if isinstance(data_type, T.DoubleType) else col.cast("double"), kind)
+        return Value(col if isinstance(data_type, T.DoubleType) else col.cast("double"), kind, isinstance(data_type, (T.DoubleType, T.FloatType)))
     if kind == TIME:
         return Value(col if isinstance(data_type, T.TimestampNTZType) else col.cast("timestamp_ntz"), kind)
     if kind == DURATION:

@@ -28,6 +28,8 @@ class Match:
 
 def _phrase(node: Phrase, text: Column) -> Match:
     p = compile_pattern(node.pattern)
+    if not p.needles:
+        text = F.coalesce(text, F.lit(""))  # only phrases without tokens can match an empty line
     tests = [text.contains(n) for n in p.needles]
     # A lone token's boundary test would follow from the pattern only where the pattern is no more than it.
     tests += [text.rlike(t) for t in p.token_tests]
@@ -53,17 +55,18 @@ def _phrase(node: Phrase, text: Column) -> Match:
     return Match(reduce(lambda a, b: a & b, tests) if tests else None, fields)
 
 
-def compile_match(node: object, text: Column) -> Match:
+def compile_match(node: object, text: Column, top: bool = True) -> Match:
+    """``text`` may be null: a null line is empty. Where a condition only filters (``top``) null is as good as false."""
     if isinstance(node, Scan):
         return Match(None)
     if isinstance(node, Phrase):
-        return _phrase(node, text)
+        return _phrase(node, text if top else F.coalesce(text, F.lit("")))
     if isinstance(node, Not):
-        inner = compile_match(node.inner, text)
+        inner = compile_match(node.inner, text, False)
         return Match(F.lit(False) if inner.condition is None else ~inner.condition)
     if not isinstance(node, Combined):
         raise QueryError(f"{node!r} can't be searched for")
-    parts = [compile_match(p, text) for p in node.parts]
+    parts = [compile_match(p, text, top and node.op == "and") for p in node.parts]
     conditions = [F.lit(True) if p.condition is None else p.condition for p in parts]
     if node.op == "and":
         fields: dict[str, Value] = {}

@@ -7,6 +7,7 @@ shows: in ``order by`` ties, ``limit``, paging and context.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -14,12 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenlog.errors import QueryError
-from lumenlog.functions.expressions import compile_expression, truth
+from lumenlog.functions.expressions import compile_expression, condition
 from lumenlog.functions.values import NULL, NUMBER, Value, from_field
 from lumenlog.operators import aggregates, parsers
 from lumenlog.operators.match import compile_match
-from lumenlog.sources.shared import folder
 from lumenlog.plans.syntax import Aggregate, Item, Query, describe, parse
+from lumenlog.sources.shared import folder
 
 PAGE = 1024
 
@@ -42,6 +43,14 @@ class Log:
     def query(self, text: str | None) -> Result:
         return Result(self, parse(text))
 
+    def at(self, rows: DataFrame) -> Log:
+        """The lines whose key columns are among those of ``rows``."""
+        return Log(self.df.join(rows.select(*self.order).distinct(), list(self.order), "left_semi"), self.order, self.message)
+
+    def index_with(self, indexers: dict[str, Callable[[Log], DataFrame]]) -> dict[str, DataFrame]:
+        """What each indexer makes of the log's lines, lazily."""
+        return {name: f(self) for name, f in indexers.items()}
+
     def read(self) -> DataFrame:
         """All lines in log order."""
         return self.df.orderBy(*self.order)
@@ -80,8 +89,7 @@ class Result:
 
     def _search(self) -> _State:
         log = self.log
-        text = F.coalesce(F.col(f"`{log.message}`"), F.lit(""))
-        m = compile_match(self.query.search, text)
+        m = compile_match(self.query.search, F.col(f"`{log.message}`"))
         df = log.df if m.condition is None else log.df.filter(m.condition)
         order = {f"__o{n}": F.col(f"`{c}`") for n, c in enumerate(log.order)}
         columns, fields = [], {}
@@ -123,7 +131,7 @@ class Result:
         if q.parse:
             s = self._parse(s)
         if q.where is not None:
-            s.df = s.df.filter(truth(compile_expression(q.where, s.resolve)))
+            s.df = s.df.filter(condition(q.where, s.resolve))
         named = any(isinstance(i.value, Aggregate) for i in q.select or [])
         if q.group:
             keys = [compile_expression(i.value, s.resolve) for i in q.group]
@@ -158,6 +166,10 @@ class Result:
         """Names and kinds of the result's columns."""
         return {n: self._state.fields[n].kind for n in self._state.shown}
 
+    def describe(self, time_format: str = "yyyy-MM-dd HH:mm:ss,SSS") -> list[tuple[str, str, str]]:
+        """Header, kind and display format of each column."""
+        return [(n, k, time_format if k == "time" else "") for n, k in self.columns.items()]
+
     def _shown(self) -> list[Column]:
         return [self._state.fields[n].col.alias(n) for n in self._state.shown]
 

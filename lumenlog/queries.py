@@ -228,6 +228,16 @@ def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context(events_log(spark, sf_dir), F.col("value") > 500).select("hit", "distance", "index", "event_id")
 
 
+def random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = orders_log(spark, sf_dir)
+    return log.at(_table(spark, sf_dir, "lineitem").filter("l_quantity = 50").select(F.col("l_orderkey").alias("o_orderkey"))).query('"ORDER" select o_orderkey as k').df
+
+
+def column_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = events_log(spark, sf_dir).query('"{at:time} [{user:number}] {kind} value" select at, user, kind, at - at as none')
+    return spark.createDataFrame(r.describe(), "name string, kind string, format string")
+
+
 def token_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.vocabulary(orders_log(spark, sf_dir).df)
 
@@ -300,6 +310,8 @@ FUNCTIONS: list[tuple[Callable[[SparkSession, str], DataFrame], str | None]] = [
     (paging, "SELECT o_orderkey::DOUBLE AS k, o_totalprice AS p FROM orders ORDER BY p, o_orderkey LIMIT 50 OFFSET 100"),
     (row_places, "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place, o_orderkey::DOUBLE AS k FROM orders WHERE o_orderstatus = 'F'"),
     (context_lines, "WITH r AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS index, event_id, value FROM events) SELECT h.index AS hit, r.index - h.index AS distance, r.index AS index, r.event_id FROM r JOIN r AS h ON r.index BETWEEN h.index - 5 AND h.index + 5 WHERE h.value > 500"),
+    (random_access, "SELECT o_orderkey::DOUBLE AS k FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)"),
+    (column_metadata, "SELECT * FROM (VALUES ('at', 'time', 'yyyy-MM-dd HH:mm:ss,SSS'), ('user', 'number', ''), ('kind', 'string', ''), ('none', 'duration', '')) AS t(name, kind, format)"),
     (token_vocabulary, f"WITH t AS (SELECT o_orderkey, unnest(regexp_extract_all(regexp_replace(message, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[0-9]+|[A-Za-z]+')) AS token FROM {_OR}) SELECT token, count(DISTINCT o_orderkey) AS lines, count(*) AS occurrences FROM t WHERE length(token) >= 3 GROUP BY 1"),
     (token_estimate, "SELECT count(*) FILTER (event_type = 'purchase') AS estimate FROM events"),
     (token_index_search, f"SELECT message FROM {_OR} WHERE regexp_matches(message, 'URGENT')"),

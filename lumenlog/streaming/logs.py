@@ -9,12 +9,14 @@ snapshot instead: ``refresh`` says which files to read again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lumenlog.errors import QueryError
-from lumenlog.functions.expressions import compile_expression, truth
+from lumenlog.functions.expressions import compile_expression, condition
 from lumenlog.functions.values import Value, from_field
 from lumenlog.operators.aggregates import single
 from lumenlog.operators.match import compile_match
@@ -34,7 +36,7 @@ def transform(stream: DataFrame, text: str, message: str = "message", late: str
     q = parse(text)
     if q.parse and q.parse.parser != "test" or q.order or q.limit is not None:
         raise QueryError("parse, order by and limit need the whole log; query a snapshot instead")
-    m = compile_match(q.search, F.coalesce(F.col(message), F.lit("")))
+    m = compile_match(q.search, F.col(message))
     df = stream if m.condition is None else stream.filter(m.condition)
     df = df.withColumns({n: v.col for n, v in m.fields.items()}) if m.fields else df
     kinds = {n: v.kind for n, v in m.fields.items()}
@@ -47,7 +49,7 @@ def transform(stream: DataFrame, text: str, message: str = "message", late: str
         return Value(F.lit(None), kinds.get(name, "null"))
 
     if q.where is not None:
-        df = df.filter(truth(compile_expression(q.where, resolve)))
+        df = df.filter(condition(q.where, resolve))
     named = any(isinstance(i.value, Aggregate) for i in q.select or [])
     if not q.group and not named:
         return df.select(*[compile_expression(i.value, resolve).col.alias(i.name) for i in q.select]) if q.select else df
@@ -67,6 +69,12 @@ def start(stream: DataFrame, name: str, mode: str = "append", checkpoint: str |
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 
+def on_change(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> StreamingQuery:
+    """Call ``act`` with each batch of new rows."""
+    writer = stream.writeStream.foreachBatch(act)
+    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+
+
 def refresh(spark: SparkSession, sources: list[str], before: list[tuple[str, object, int]]) -> tuple[list[tuple[str, object, int]], list[str], list[str]]:
     """(listing, files that went, files to read again) since an earlier listing."""
     now = find(spark, sources)
