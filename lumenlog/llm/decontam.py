@@ -4,9 +4,11 @@ A test item of n characters (lower-cased words joined by single spaces) is found
 in a text where at most ``k = n * rate`` edits turn it into a substring of the
 text treated alike. It is split into k + 1 pieces: at least one stands in the
 match unchanged, so exact hits of the pieces, found in one pass by an automaton,
-are the only places to look. A hit is first verified on a group of ``GROUP``
-neighbouring pieces, one of which must match within its share of the edits, then
-on the whole item, both with Myers' bit-parallel distance.
+are the only places to look. Pieces stand in groups of ``GROUP``: as there are more
+pieces than edits, some group has fewer edits than pieces. Where that is one
+edit, the piece beside the hit has a half unchanged, at most one place off. Hits
+that pass this are verified on their group, then on the whole item, with Myers'
+bit-parallel distance.
 
 Test items are few against the corpus, yet their number isn't taken for
 granted: they are matched ``BATCH`` at a time, so the automaton that is sent to
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 RATE = 0.1
 SHORTEST = 24
-GROUP = 4
+GROUP = 2
 BATCH = 5000
 
 _WORDS = re.compile(r"\w+").findall
@@ -76,7 +78,7 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         self.items = []
-        pieces: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
+        pieces: dict[str, list[tuple[int, int, int, tuple]]] = defaultdict(list)
         for item_id, text in sorted({(i, normal(t)) for i, t in items if t}, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
             n = len(text)
             if n < SHORTEST:
@@ -84,11 +86,17 @@ class Matcher:
             k = int(n * rate)
             edge = [n * j // (k + 1) for j in range(k + 2)]
             groups = -(-(k + 1) // GROUP)
-            cuts = [edge[(k + 1) * g // groups] for g in range(groups + 1)]
-            spans = [(a, b, k // groups, masks(text[a:b])) for a, b in zip(cuts, cuts[1:])]
+            cuts = [(k + 1) * g // groups for g in range(groups + 1)]
+            spans = [(edge[i], edge[j], j - i - 1, masks(text[edge[i] : edge[j]])) for i, j in zip(cuts, cuts[1:])]
             for j, (a, b) in enumerate(zip(edge, edge[1:])):
-                of = next(g for g in range(groups) if (k + 1) * (g + 1) // groups > j)
-                pieces[text[a:b]].append((len(self.items), a, of))
+                of = next(g for g in range(groups) if cuts[g + 1] > j)
+                halves = ()
+                if cuts[of + 1] - cuts[of] == 2:
+                    i = cuts[of] + cuts[of + 1] - 1 - j
+                    x, y = edge[i], edge[i + 1]
+                    z = (x + y) // 2
+                    halves = (text[x:z], x - a - 1, z - a + 1, text[z:y], z - a - 1, y - a + 1)
+                pieces[text[a:b]].append((len(self.items), a, of, halves))
             self.items.append((item_id, n, k, masks(text), spans))
         self.find = None
         if pieces:
@@ -105,8 +113,13 @@ class Matcher:
         spots: dict[int, set[int]] = {}
         seen: set[tuple[int, int, int]] = set()
         for end, (size, places) in self.find.iter(text):
-            for item, offset, of in places:
-                start = end + 1 - size - offset  # where the item would start without edits
+            here = end + 1 - size
+            for item, offset, of, halves in places:
+                if halves:
+                    one, a, b, two, c, d = halves
+                    if text.find(one, max(0, here + a), max(0, here + b)) < 0 and text.find(two, max(0, here + c), max(0, here + d)) < 0:
+                        continue
+                start = here - offset  # where the item would start without edits
                 at = (item, of, start)
                 if at in seen:
                     continue
