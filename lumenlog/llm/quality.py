@@ -24,6 +24,10 @@ MIN_KEPT_SHARE = 0.5
 SYMBOLS = r"[#*$%&|<>]"
 #: A line ends in one full stop, question or exclamation mark, ellipsis, colon-free quote or bracket.
 ENDS_WELL = r"[.!?…。！？][\"'\)\]»”’]*[\x20\x09-\x0D]*$"
+#: Prose of this many words may end without a mark, as where it was cut.
+LONG = r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){30}"
+#: One word four times in a row.
+STUTTER = r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1){3}(?:[\x20\x09-\x0D]|$)"
 SHOUTS = r"[!?]{2,}[\"'\)\]»”’]*[\x20\x09-\x0D]*$"
 #: Menus: two or more separators that stand between blanks, or a trail of arrows.
 NAVIGATION = r"(?:(?:^|[\x20\x09])(?:\||»|>|/|•|·)(?:[\x20\x09].*[\x20\x09]|[\x20\x09])(?:\||»|>|/|•|·)(?:[\x20\x09]|$))|[\x20\x09]\|[\x20\x09]*$"
@@ -76,7 +80,7 @@ def _covered(windows: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Punctuation, navigation and boilerplate rules for one line that has a word."""
-    return ~line.rlike(ENDS_WELL) | line.rlike(SHOUTS) | line.rlike(MARKS) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
+    return ~(line.rlike(ENDS_WELL) | line.rlike(LONG)) | line.rlike(SHOUTS) | line.rlike(MARKS) | line.rlike(STUTTER) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
 
 
 def quality(docs: DataFrame, text: str = "text", min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
@@ -135,13 +139,14 @@ g AS (SELECT rid, i, array_to_string(ws[i:i+7], ' ') AS g
       FROM w, unnest(generate_series(1, len(ws) - 7)) AS u(i) WHERE len(ws) >= 8),
 r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1),
 c AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM r, unnest(generate_series(0, 7)) AS v(k) GROUP BY rid),
-l AS (SELECT rid, k, x, regexp_matches(x, '[^\x20\x09-\x0D]') AS has_word
-      FROM w, unnest(generate_series(1, len(ls))) AS u(k), LATERAL (SELECT ls[k] AS x)),
+l AS (SELECT rid, k, x, lw, regexp_matches(x, '[^\x20\x09-\x0D]') AS has_word
+      FROM w, unnest(generate_series(1, len(ls))) AS u(k), LATERAL (SELECT ls[k] AS x, regexp_extract_all(ls[k], '[^\x20\x09-\x0D]+') AS lw)),
 m AS (SELECT rid,
         count(*) FILTER (has_word) - count(DISTINCT x) FILTER (has_word) AS n_dup_lines,
         coalesce(sum(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (has_word
-          AND regexp_matches(x, '[.!?…。！？]["''\)\]»”’]*[\x20\x09-\x0D]*$')
+          AND (regexp_matches(x, '[.!?…。！？]["''\)\]»”’]*[\x20\x09-\x0D]*$') OR regexp_matches(x, '(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){30}'))
           AND NOT regexp_matches(x, '[!?]{2,}["''\)\]»”’]*[\x20\x09-\x0D]*$')
+          AND NOT coalesce(list_bool_or(list_transform(range(1, len(lw) - 2), lambda i: lw[i] = lw[i + 1] AND lw[i] = lw[i + 2] AND lw[i] = lw[i + 3])), false)
           AND NOT regexp_matches(x, '(?:###|[$]{3}|%%%|&&&|[*]{3}|<<<|>>>|[|]{3}).*(?:###|[$]{3}|%%%|&&&|[*]{3}|<<<|>>>|[|]{3})')
           AND NOT regexp_matches(x, '(?:(?:^|[\x20\x09])(?:\||»|>|/|•|·)(?:[\x20\x09].*[\x20\x09]|[\x20\x09])(?:\||»|>|/|•|·)(?:[\x20\x09]|$))|[\x20\x09]\|[\x20\x09]*$')
           AND NOT regexp_matches(x, '(?i)\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|use of cookies|accept (?:all )?cookies|enable javascript|requires javascript|click here|sign up for our newsletter|subscribe to our|lorem ipsum|skip to (?:main )?content|back to top)\b')
