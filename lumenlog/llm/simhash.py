@@ -9,7 +9,8 @@ Documents with one fingerprint are one node from the start, so a group of exact
 copies of any size is a single row before anything is joined. Two fingerprints
 within ``bits`` differing bits agree on at least ``BLOCKS - bits`` of ``BLOCKS``
 blocks; nodes are joined on every such choice of blocks and each pair is
-verified at its first agreeing choice only. A choice's bucket that holds over
+verified. ``blocks_for`` raises the number of blocks with the number of nodes, so
+that buckets stay small at any size. A choice's bucket that holds over
 ``HOT`` nodes isn't paired: its nodes get all fingerprints within half the
 distance as keys, and nodes that share a key are linked through the least of
 them, which is exact and linear in the bucket.
@@ -38,6 +39,8 @@ SHINGLE = 4
 SEED = 42
 BITS = 4
 BLOCKS = 6
+#: Nodes that a bucket may hold on average: more nodes are split into more blocks.
+CROWD = 4
 HOT = 4000
 
 _FIND = regex.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -87,6 +90,14 @@ def block_masks(blocks: int = BLOCKS, bits: int = BITS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def blocks_for(nodes: int, bits: int = BITS) -> int:
+    """Blocks that leave a few nodes in a bucket on average; any number gives the same links."""
+    blocks = BLOCKS
+    while nodes > CROWD << (64 * (blocks - bits) // blocks):
+        blocks += 1
+    return blocks
+
+
 def _keyed(nodes: DataFrame, masks: list[int]) -> DataFrame:
     choice = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(masks)])).alias("c")
     return nodes.select("fp", "node", choice).select("fp", "node", "c.k", "c.part")
@@ -112,10 +123,11 @@ def _near(nodes: DataFrame, radius: int) -> DataFrame:
     return nodes.select("fp", "node").mapInArrow(run, "key long, node long")
 
 
-def links(nodes: DataFrame, bits: int = BITS, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
+def links(nodes: DataFrame, bits: int = BITS, blocks: int = BLOCKS, hot: int | None = None) -> DataFrame:
     """Edges (a, b) that connect exactly the nodes (fp, node) within ``bits`` bits of each other."""
     masks = block_masks(blocks, bits)
     keyed = _keyed(nodes, masks)
+    hot = HOT if hot is None else hot
     busy = keyed.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     sizes = cut(busy)
     usual, large = sizes.filter(F.col("n") <= hot).select("k", "part"), sizes.filter(F.col("n") > hot).select("k", "part")
@@ -137,7 +149,7 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     prints = cut(fingerprints(docs))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    parts = components(links(nodes, bits))
+    parts = components(links(nodes, bits, blocks_for(nodes.count(), bits)))
     named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -70,7 +70,7 @@ def brute_components(fps):
 @pytest.mark.parametrize("hot", [4000, 2])
 def test_simhash(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT", hot)
-    monkeypatch.setattr(simhash.links, "__defaults__", (simhash.BITS, simhash.BLOCKS, hot))
+    monkeypatch.setattr(simhash, "blocks_for", lambda n, bits: 6 if hot > 2 else 7)
     texts = near_texts(random.Random(4), 60)
     docs = frame(spark, [(n, t, "s") for n, t in enumerate(texts)])
     fps = {n: brute_fingerprint(t) for n, t in enumerate(texts)}
@@ -98,6 +98,7 @@ def test_components(spark):
 
 
 def test_every_close_pair_shares_blocks():
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**7, 10**9, 10**11)] == [6, 6, 7, 8, 9]
     rng = random.Random(9)
     for blocks in (6, 7, 8, 10):
         masks = simhash.block_masks(blocks, 4)
