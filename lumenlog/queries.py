@@ -7,6 +7,7 @@ language, and SQL that gives the same rows; queries that aren't plain language
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,11 @@ from pyspark.sql import functions as F
 
 from lumenlog.operators import charts, index, tokens
 from lumenlog.plans.engine import Log, context
-from lumenlog.sources.files import from_lines
+from lumenlog.sources.catalog import Catalog, SavedQuery
+from lumenlog.sources.files import from_lines, read_log
+from lumenlog.sources.shared import folder
+from lumenlog.sources.sinks import row_text, write_csv
+from lumenlog.streaming.logs import lines, transform
 
 # ---------------------------------------------------------------- views
 
@@ -247,8 +252,6 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lumenlog.sources.shared import folder
-
     log = orders_log(spark, sf_dir)
     path = folder(spark, "token-index")
     index.write(log, path)
@@ -278,29 +281,47 @@ def chart_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines written to files by Spark and read back as a log."""
-    from lumenlog.sources.files import read_log
-    from lumenlog.sources.shared import folder
-
     path = folder(spark, "orders-log")
     orders_log(spark, sf_dir).df.select(F.col("message").alias("value")).write.mode("overwrite").text(path)
     return read_log(spark, f"{path}/part-").query('"status=F"').df
 
 
 def csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lumenlog.sources.shared import folder
-    from lumenlog.sources.sinks import write_csv
-
     path = folder(spark, "csv-export") + "/rows"
     write_csv(customers_csv(spark, sf_dir).query("* parse csv where key != nothing select key, name, segment").df, path)
     return spark.read.option("sep", ";").option("header", True).csv(path)
 
 
 def text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lumenlog.sources.sinks import row_text
-
     return row_text(orders_log(spark, sf_dir).query("* select o_orderstatus as s, o_orderpriority as p, o_orderdate as d").df)
 
 
+def _streamed(spark: SparkSession, sf_dir: str, text: str, mode: str) -> DataFrame:
+    """A query over files as they arrive, run until none is left."""
+    path = folder(spark, "arriving")
+    orders_log(spark, sf_dir).df.select(F.col("message").alias("value")).write.text(path)
+    name = "streamed_" + path.rsplit("-", 1)[1]
+    stream = transform(lines(spark, path), text).writeStream.outputMode(mode).format("memory").queryName(name)
+    stream.option("checkpointLocation", folder(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def streaming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, '"customer={c:number} status=F" where c < 50 select c', "append")
+
+
+def streaming_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, '"customer={c:number} status={s} " group by s select count(*) as n, sum(c) as t', "complete")
+
+
+def saved_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query kept in a catalogue and run by its title."""
+    with tempfile.TemporaryDirectory() as place:  # read and written by the driver alone
+        catalog = Catalog(f"{place}/own.xml")
+        catalog.save(SavedQuery("open orders", '"status=O" select o_orderkey as k'))
+        return orders_log(spark, sf_dir).query(catalog.get("open orders").query).df
+
+
 def plan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = orders_log(spark, sf_dir).query('"ORDER" and not "URGENT" where o_totalprice > 5 select o_orderkey as k order by k limit 3')
     return spark.createDataFrame([(n, line) for n, line in enumerate(r.plan().split("\n"))], "n long, line string")
@@ -323,6 +344,9 @@ FUNCTIONS: list[tuple[Callable[[SparkSession, str], DataFrame], str | None]] = [
     (file_source, f"SELECT message FROM {_OR} WHERE o_orderstatus = 'F'"),
     (csv_sink, "SELECT c_custkey::VARCHAR AS key, c_name AS name, c_mktsegment AS segment FROM customer"),
     (text_sink, "SELECT o_orderstatus || chr(9) || o_orderpriority || chr(9) || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S,%g') AS value FROM orders"),
+    (streaming_search, "SELECT o_custkey::DOUBLE AS c FROM orders WHERE o_orderstatus = 'F' AND o_custkey < 50"),
+    (streaming_groups, "SELECT o_orderstatus AS s, count(*) AS n, sum(o_custkey)::DOUBLE AS t FROM orders GROUP BY 1"),
+    (saved_query, "SELECT o_orderkey::DOUBLE AS k FROM orders WHERE o_orderstatus = 'O'"),
     (plan_text, None),
 ]
 
