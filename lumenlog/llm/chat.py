@@ -3,10 +3,12 @@
 A log holds events (conv_id, seq, kind, msg, role, text) in any order. Sorted by
 seq they are folded into final messages: ``message`` opens a message, ``delta``
 appends to it, ``edit`` replaces its text, ``regenerate`` empties it for the deltas
-that follow, ``delete`` takes it away. Messages are folded first, each for itself,
-so a conversation with a third of all events is dealt over many tasks; then the
-finished messages of a conversation are sorted and rendered in one stream that
-holds one message at a time. A rendered conversation comes in parts of about
+that follow, ``delete`` takes it away. Events are dealt by conversation once and
+sorted by message, which Spark spills where it must; messages are folded one
+after another, sorted by their first seq and rendered in one stream that holds one
+message at a time. So a conversation with a third of all events needs one task's
+time, as its digest does, but no more memory than another. A rendered
+conversation comes in parts of about
 ``PART_CHARS`` characters with the spans under the loss mask (assistant texts).
 
 The template marks turns with ``<|im_start|>`` and ``<|im_end|>``. Inside roles and
@@ -135,10 +137,9 @@ def conversations(events: DataFrame) -> DataFrame:
     """(conv_id, part, formatted, spans, last) of every conversation, its parts in order within one partition."""
     rank = F.element_at(F.create_map(*[x for k, name in enumerate(KINDS) for x in (F.lit(name), F.lit(k))]), F.col("kind"))
     log = events.select(F.col("conv_id").cast("long").alias("conv_id"), "msg", F.col("seq").cast("long").alias("seq"), "kind", "role", "text", rank.alias("rank"))
-    parts = log.repartition(F.col("conv_id"), F.col("msg")).sortWithinPartitions("conv_id", "msg", "seq", "rank", "role", "text").drop("rank")
+    parts = log.repartition("conv_id").sortWithinPartitions("conv_id", "msg", "seq", "rank", "role", "text").drop("rank")
     done = parts.mapInArrow(lambda b: _batches(fold(_rows(b)), _MESSAGES), "conv_id long, seq long, role string, text string")
-    streams = done.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text")
-    return streams.mapInArrow(
+    return done.sortWithinPartitions("conv_id", "seq", "role", "text").mapInArrow(
         lambda b: _batches(render(_rows(b)), _PARTS), "conv_id long, part long, formatted string, spans array<struct<start: long, end: long>>, last boolean"
     )
 
