@@ -5,13 +5,14 @@ target over its source's size. The whole part is taken; the fractions are
 rounded dependently. Two fractional documents meet, and mass in words moves
 from one to the other until one of them has a whole number of copies; which way
 it moves is drawn so that every document's expectation stays what it was. Words
-are conserved by each move, so a source ends within one document of its target.
-The document that is still fractional carries on.
+are conserved by each move. The document that is still fractional carries on; the
+one that is left of a source in the end goes to the nearer whole number, so that a
+source ends within half a document of its target.
 
 The reduction tree: documents are dealt by a hash into blocks of about
 ``FAN`` within a source; each block is folded from its largest document down
 and leaves at most one carrier; the carriers of ``FAN`` blocks form a block of
-the next level, until one is left per source, which is drawn alone. A source
+the next level, until one is left per source. A source
 with a third of all rows only has more blocks. Levels grow with the logarithm
 of the largest source. Draws are hashes of the documents that meet, so reruns
 agree.
@@ -118,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = MAX_CO
         if width == 1:
             break
         now, level, width = carried.withColumn("block", F.floor(F.col("block") / fan).cast("long")), level + 1, -(-width // fan)
-    last = F.shiftrightunsigned(F.xxhash64("unit.u", F.lit(SEED), F.lit(-1)), 11) / F.lit(9007199254740992.0) < F.col("unit.p")
+    last = F.col("unit.p") >= 0.5
     out.append(carried.select(F.col("unit.id").alias("doc_id"), "source", F.col("unit.s").cast("long").alias("size"), (F.col("unit.b") + last.cast("long")).alias("copies")))
     every = out[0]
     for part in out[1:]:
