@@ -170,14 +170,18 @@ def outer_features(tags: tuple[str, ...], names: tuple[str, ...]) -> list[str]:
     return f + [f"in={t}" for t in sorted(set(tags) & BLOCK_TAGS)] + [f"name={x}" for x in sorted(set(names))]
 
 
-def inner_features(b: Block, text: str, place: str) -> list[str]:
-    """What a block's own text says; hints are words of short blocks."""
+def _marked(tags: tuple[str, ...]) -> bool:
+    return "article" in tags or "main" in tags
+
+
+def inner_features(b: Block, text: str, place: str, marked: bool) -> list[str]:
+    """What a block's own text says, and its place on a page that does or doesn't mark an article; hints are words of short blocks."""
     own = next((t for t in reversed(b.tags) if t in BLOCK_TAGS), "")
     size = _step(len(text), (15, 30, 60, 120, 250, 500))
     linked = _step(min(1.0, b.linked / max(1, sum(map(len, b.raw)))), (0.05, 0.3, 0.7, 0.95)) if b.linked else 0
     head = text[:200]
     return [
-        place, f"size={size}", f"linked={linked}", f"own={own},size={size}",
+        place, f"apart={marked and not _marked(b.tags)}", f"size={size}", f"linked={linked}", f"own={own},size={size}",
         f"end={_ENDS.search(text, max(0, len(text) - 8)) is not None}",
         f"words={_step(text.count(' ') + 1, (2, 4, 8, 16, 32))}",
         f"hint={len(text) < 200 and _HINTS.search(text) is not None}",
@@ -192,7 +196,8 @@ def _place(k: int, n: int) -> str:
 
 def features(page: list[Block], texts: list[str]) -> list[list[str]]:
     """Binary features of each block: of the elements around it, and of the text."""
-    return [outer_features(b.tags, b.names) + inner_features(b, t, _place(k, len(page))) for k, (b, t) in enumerate(zip(page, texts))]
+    marked = any(_marked(b.tags) for b in page)
+    return [outer_features(b.tags, b.names) + inner_features(b, t, _place(k, len(page)), marked) for k, (b, t) in enumerate(zip(page, texts))]
 
 
 class Field:
@@ -204,7 +209,7 @@ class Field:
         self.t = np.zeros((2, 2))
         self.around: dict[tuple, float] = {}
 
-    def train(self, pages: list[tuple[list[list[str]], list[int]]], rounds: int = 12, rate: float = 0.5, decay: float = 1e-4, seed: int = 4) -> Field:
+    def train(self, pages: list[tuple[list[list[str]], list[int]]], rounds: int = 15, rate: float = 0.5, decay: float = 1e-4, seed: int = 4) -> Field:
         """Stochastic gradient ascent with per-weight rates on the conditional log-likelihood."""
         for fs, _ in pages:
             for f in fs:
@@ -257,6 +262,7 @@ class Field:
     def scores(self, page: list[Block], texts: list[str]) -> list[float]:
         """Score of label 1 for each block; sums over surroundings are kept, as few differ."""
         get, around, n = self.weight.get, self.around, len(page)
+        marked = any(_marked(b.tags) for b in page)
         out = []
         for k, (b, text) in enumerate(zip(page, texts)):
             key = (b.tags, b.names)
@@ -265,7 +271,7 @@ class Field:
                 if len(around) >= 50_000:
                     around.clear()
                 e = around[key] = sum(get(x, 0.0) for x in outer_features(*key))
-            for x in inner_features(b, text, _place(k, n)):
+            for x in inner_features(b, text, _place(k, n), marked):
                 e += get(x, 0.0)
             out.append(e)
         return out
@@ -356,11 +362,11 @@ def _part(rng: random.Random, kind: str) -> str:
     tag = plain if style < 0.55 else rng.choice(["div", "section", "div"])
     name = rng.choice(PART_NAMES[kind])
     joined = rng.choice([name, name, f"{name}-{rng.choice(['box', 'wrap', 'area', 'list', 'inner', 'top', 'x'])}", f"{rng.choice(['site', 'page', 'js', 'block'])}-{name}"])
-    named = f" {rng.choice(['class', 'class', 'id'])}=\"{joined}\"" if tag != plain or plain in ("div", "section") or rng.random() < 0.4 else ""
+    named = f" {rng.choice(['class', 'class', 'id', 'role'])}=\"{joined}\"" if tag != plain or plain in ("div", "section") or rng.random() < 0.4 else ""
     return f"<{tag}{named} data-label='0'>{_item(rng, kind)}</{tag}>"
 
 
-def training_pages(count: int = 500, seed: int = 11) -> list[str]:
+def training_pages(count: int = 700, seed: int = 11) -> list[str]:
     """Labelled pages: articles amid the other parts that pages have."""
     rng = random.Random(seed)
     out = []
@@ -379,11 +385,11 @@ def training_pages(count: int = 500, seed: int = 11) -> list[str]:
             inside.append(_part(rng, "comments"))
         kind = rng.random()
         name = rng.choice(MAIN_NAMES)
-        begin, end = ("<article>", "</article>") if kind < 0.5 else ("<main>", "</main>") if kind < 0.65 else (f"<div class='{name}'>", "</div>") if kind < 0.85 else (f"<div id='{name}'>", "</div>")
+        begin, end = ("<article>", "</article>") if kind < 0.5 else ("<main>", "</main>") if kind < 0.65 else (f"<div class='{name}'>", "</div>") if kind < 0.8 else (f"<div id='{name}'>", "</div>") if kind < 0.9 else ("", "")
         before = [_part(rng, k) for k in rng.sample(["menu", "header", "notice", "advert", "sidebar", "form", "share"], rng.randint(0, 4))]
         after = [_part(rng, k) for k in rng.sample(["menu", "footer", "footer", "sidebar", "advert", "comments", "form", "notice", "share"], rng.randint(0, 4))]
         body = "".join([*before, begin.replace(">", " data-label='1'>"), *inside, end, *after])
-        out.append(f"<html><head><title>t</title></head><body>{rng.choice(['{}', '<div class=wrapper>{}</div>', '<div id=page><div class=container>{}</div></div>']).format(body)}</body></html>")
+        out.append(f"<html><head><title>t</title></head><body{'' if begin else " data-label='1'"}>{rng.choice(['{}', '<div class=wrapper>{}</div>', '<div id=page><div class=container>{}</div></div>']).format(body)}</body></html>")
     return out
 
 
