@@ -27,12 +27,12 @@ ENDS_WELL = r"[.!?…。！？][\"'\)\]»”’]*[\x20\x09-\x0D]*$"
 #: Prose of this many words may end without a mark, as where it was cut.
 LONG = r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){30}"
 #: One word four times in a row.
-STUTTER = r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1){3}(?:[\x20\x09-\x0D]|$)"
+STUTTER = r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?:[\x20\x09-\x0D]++\1){3}(?:[\x20\x09-\x0D]|$)"
 SHOUTS = r"[!?]{2,}[\"'\)\]»”’]*[\x20\x09-\x0D]*$"
 #: Menus: two or more separators that stand between blanks, or a trail of arrows.
 NAVIGATION = r"(?:(?:^|[\x20\x09])(?:\||»|>|/|•|·)(?:[\x20\x09].*[\x20\x09]|[\x20\x09])(?:\||»|>|/|•|·)(?:[\x20\x09]|$))|[\x20\x09]\|[\x20\x09]*$"
-#: Tripled marks, twice or more in a line.
-MARKS = r"(?:###|[$]{3}|%%%|&&&|[*]{3}|<<<|>>>|[|]{3}).*(?:###|[$]{3}|%%%|&&&|[*]{3}|<<<|>>>|[|]{3})"
+#: Three marks in a row, twice or more in a line.
+MARKS = r"[#$%&*<>|]{3}.*[#$%&*<>|]{3}"
 BOILERPLATE = (
     r"(?i)\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|use of cookies|"
     r"accept (?:all )?cookies|enable javascript|requires javascript|click here|sign up for our newsletter|"
@@ -150,7 +150,7 @@ m AS (SELECT rid,
           AND (regexp_matches(x, '[.!?…。！？]["''\)\]»”’]*[\x20\x09-\x0D]*$') OR regexp_matches(x, '(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){30}'))
           AND NOT regexp_matches(x, '[!?]{2,}["''\)\]»”’]*[\x20\x09-\x0D]*$')
           AND NOT coalesce(list_bool_or(list_transform(range(1, len(lw) - 2), lambda i: lw[i] = lw[i + 1] AND lw[i] = lw[i + 2] AND lw[i] = lw[i + 3])), false)
-          AND NOT regexp_matches(x, '(?:###|[$]{3}|%%%|&&&|[*]{3}|<<<|>>>|[|]{3}).*(?:###|[$]{3}|%%%|&&&|[*]{3}|<<<|>>>|[|]{3})')
+          AND NOT regexp_matches(x, '[#$%&*<>|]{3}.*[#$%&*<>|]{3}')
           AND NOT regexp_matches(x, '(?:(?:^|[\x20\x09])(?:\||»|>|/|•|·)(?:[\x20\x09].*[\x20\x09]|[\x20\x09])(?:\||»|>|/|•|·)(?:[\x20\x09]|$))|[\x20\x09]\|[\x20\x09]*$')
           AND NOT regexp_matches(x, '(?i)\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|use of cookies|accept (?:all )?cookies|enable javascript|requires javascript|click here|sign up for our newsletter|subscribe to our|lorem ipsum|skip to (?:main )?content|back to top)\b')
         ), 0) AS kept_chars
