@@ -35,15 +35,18 @@ def chunked(docs: DataFrame, chunks: int, rest: bool = False) -> DataFrame:
 
 
 def split(part: np.ndarray, parts: int, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The arrays of each part, in their order."""
+    """The arrays of each part that has any, in their order; work doesn't depend on how many parts there are."""
     order = np.argsort(part.astype(np.uint16 if parts <= 65536 else np.int64), kind="stable")
-    ends = np.cumsum(np.bincount(part, minlength=1))
+    names, starts, ends = bounds(part[order])
     arrays = [a[order] for a in arrays]
-    at = 0
-    for p, to in enumerate(ends.tolist()):
-        if to > at:
-            yield p, [a[at:to] for a in arrays]
-        at = to
+    for p, at, to in zip(names, starts, ends):
+        yield p, [a[at:to] for a in arrays]
+
+
+def bounds(part: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """(parts, starts, ends) of the runs of a sorted array."""
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    return part[at].tolist(), at.tolist(), np.append(at[1:], len(part)).tolist() if len(at) else []
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:

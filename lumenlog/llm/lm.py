@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.llm.common import cut, text_bytes
-from lumenlog.llm.exchange import chunked, part_of, split
+from lumenlog.llm.exchange import bounds, chunked, part_of
 from lumenlog.llm.hashing import mix64, span_hashes, word_spans
 
 FOLDS = 7
@@ -116,13 +116,13 @@ def _unpack_counts(small: bytes, big: bytes) -> np.ndarray:
 
 
 def _distinct(values: np.ndarray, parts: int):
-    """Distinct values in the order of (part, value), where each value is among them, and the parts' bounds."""
+    """Distinct values in the order of (part, value), where each value is among them, and the bounds of parts that have any."""
     u, where = np.unique(values, return_inverse=True)
     part = part_of(u, parts)
     order = np.argsort(part.astype(np.uint16 if parts <= 65536 else np.int64), kind="stable")
     place = np.empty(len(u), np.int64)
     place[order] = np.arange(len(u))
-    return u[order], place[where], np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+    return u[order], place[where], bounds(part[order])
 
 
 def _ask(parts: int):
@@ -131,14 +131,12 @@ def _ask(parts: int):
     def run(key, t):
         x, rows = Tokens(t), []
         for kind, values in ((1, x.token), (2, x.pair)):
-            u, where, bounds = _distinct(values, parts)
+            u, where, runs = _distinct(values, parts)
             n = np.bincount(where[x.trains], minlength=len(u))
-            for p in range(parts):
-                a, b = bounds[p], bounds[p + 1]
-                if b > a:
-                    keys, wide = _pack_keys(u[a:b])
-                    counts, big = _pack_counts(n[a:b])
-                    rows.append({"part": p, "chunk": key[0].as_py(), "kind": kind, "keys": keys, "wide": wide, "counts": counts, "big": big})
+            for p, a, b in zip(*runs):
+                keys, wide = _pack_keys(u[a:b])
+                counts, big = _pack_counts(n[a:b])
+                rows.append({"part": p, "chunk": key[0].as_py(), "kind": kind, "keys": keys, "wide": wide, "counts": counts, "big": big})
         return pa.Table.from_pylist(rows, schema=schema)
 
     return run
@@ -170,8 +168,8 @@ class Counted:
             got[kind][p] = _unpack_counts(small, big)
         counts = {}
         for kind, values in ((1, x.token), (2, x.pair)):
-            _, where, bounds = _distinct(values, parts)
-            full = np.concatenate([got[kind][p] for p in range(parts) if bounds[p + 1] > bounds[p]])
+            _, where, runs = _distinct(values, parts)
+            full = np.concatenate([got[kind][p] for p in runs[0]])
             counts[kind] = full[where]
         self.own, self.pair = counts[1], counts[2]
         self.before = np.empty_like(self.own)
