@@ -1,7 +1,7 @@
 """From raw documents to a training mix: five stages, each over all rows its predecessor kept.
 
 1. quality rules: failing lines go, and documents that fail or lose too much;
-2. SimHash near-dedup: of each group of near copies the least doc_id stays;
+2. near-dedup: of each group of near copies (five-word Jaccard of 0.8 or more) the least doc_id stays;
 3. suffix-array dedup: bytes of 100-byte strings that stand earlier go, and documents with nothing left;
 4. benchmark decontamination: documents in which a test item is found go;
 5. mixing: how many copies of each remaining document meet the sources' weights.
@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenlog.llm.common import cut, table
 from lumenlog.llm.decontam import decontaminate
 from lumenlog.llm.mixing import mix
+from lumenlog.llm.nearcopies import dedup
 from lumenlog.llm.quality import clean
-from lumenlog.llm.simhash import dedup
 from lumenlog.llm.suffix import rewrite
 
 

@@ -154,11 +154,32 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """One row of each group stays: the one with the least doc_id (of its repeats, any one row).
+def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Exactly one row of each group stays: the one with the least doc_id, null the last.
 
-    Rows with a null doc_id can't be told apart from their group and stay.
+    rows: doc_id, h (xxhash64 of the text) and grp of every row of ``docs``. Rows alike in
+    doc_id and text are repeats, any one of which may stay.
     """
-    found = near_duplicates(docs.filter("doc_id IS NOT NULL"), bits)
-    drop = found.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    rows = cut(rows)
+    best = rows.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("best"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))
+    marked = rows.groupBy("grp", "doc_id", "h").agg((F.count(F.lit(1)) > 1).alias("again")).join(best, "grp")
+    some = cut(marked.select("doc_id", "h", stays.alias("stays"), "again").filter("again OR NOT stays"))
+    keyed = docs.withColumn("_h", F.xxhash64("text"))
+
+    def pick(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("_id"), F.col("h").alias("_k"))
+        return left.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), how)
+
+    kept = pick(keyed, some, "left_anti")
+    again = some.filter("stays")
+    if not again.isEmpty():
+        kept = kept.union(pick(keyed, again, "left_semi").dropDuplicates(["doc_id", "_h"]))
+    return kept.select(*docs.columns)
+
+
+def dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """One row of each group stays: the one with the least doc_id, null the last (of its repeats, any one row)."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    found = near_duplicates(texts, bits).select(F.col("doc_id").alias("h"), F.col("component_id").alias("grp"))
+    return keep_one(docs, docs.select("doc_id", F.xxhash64("text").alias("h")).join(found, "h"))
