@@ -14,8 +14,10 @@ Test items are few against the corpus, yet their number isn't taken for
 granted: they are matched ``BATCH`` at a time, so the automaton that is sent to
 executors is bounded. Documents are never shuffled and whole texts are read.
 
-Edge cases: null and empty texts match nothing; null or empty items and items
-with fewer than ``SHORTEST`` characters are not searched for; repeated documents
+Edge cases: null and empty texts match nothing; null items and items without a
+word are not searched for; items with fewer than ``SHORTEST`` characters are
+matched together with the blanks around them, so that they stand at word
+boundaries, by as many edits as their own characters allow; repeated documents
 each have their rows, repeated items (same id and text) one; an empty table on
 either side gives no rows; extra columns pass through ``decontaminate``.
 """
@@ -81,10 +83,13 @@ class Matcher:
         pieces: dict[str, list[tuple[int, int, int, tuple]]] = defaultdict(list)
         for item_id, text in sorted({(i, normal(t)) for i, t in items if t}, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
             n = len(text)
-            if n < SHORTEST:
+            if not n:
                 continue
-            k = int(n * rate)
-            edge = [n * j // (k + 1) for j in range(k + 2)]
+            k, short = int(n * rate), n < SHORTEST
+            if short:
+                text = f" {text} "
+            m = len(text)
+            edge = [m * j // (k + 1) for j in range(k + 2)]
             groups = -(-(k + 1) // GROUP)
             cuts = [(k + 1) * g // groups for g in range(groups + 1)]
             spans = [(edge[i], edge[j], j - i - 1, masks(text[edge[i] : edge[j]])) for i, j in zip(cuts, cuts[1:])]
@@ -97,7 +102,7 @@ class Matcher:
                     z = (x + y) // 2
                     halves = (text[x:z], x - a - 1, z - a + 1, text[z:y], z - a - 1, y - a + 1)
                 pieces[text[a:b]].append((len(self.items), a, of, halves))
-            self.items.append((item_id, n, k, masks(text), spans))
+            self.items.append((item_id, n, k, masks(text), spans, m, short))
         self.find = None
         if pieces:
             self.find = ahocorasick.Automaton()
@@ -110,14 +115,17 @@ class Matcher:
         text = normal(text)
         if not text or self.find is None:
             return []
+        # Only short items see the blanks around the text: others may not spend them.
+        padded = f" {text} "
         spots: dict[int, set[int]] = {}
         seen: set[tuple[int, int, int]] = set()
-        for end, (size, places) in self.find.iter(text):
-            here = end + 1 - size
+        for end, (size, places) in self.find.iter(padded):
             for item, offset, of, halves in places:
+                short = self.items[item][6]
+                within, here = (padded, end + 1 - size) if short else (text, end - size)
                 if halves:
                     one, a, b, two, c, d = halves
-                    if text.find(one, max(0, here + a), max(0, here + b)) < 0 and text.find(two, max(0, here + c), max(0, here + d)) < 0:
+                    if within.find(one, max(0, here + a), max(0, here + b)) < 0 and within.find(two, max(0, here + c), max(0, here + d)) < 0:
                         continue
                 start = here - offset  # where the item would start without edits
                 at = (item, of, start)
@@ -125,24 +133,25 @@ class Matcher:
                     continue
                 a, b, most, peq = self.items[item][4][of]
                 # The hit fixes the shift inside its group to within the group's own edits.
-                if least_distance(peq, b - a, text[max(0, start + a - most) : start + b + most]) <= most:
+                if least_distance(peq, b - a, within[max(0, start + a - most) : max(0, start + b + most)]) <= most:
                     spots.setdefault(item, set()).add(start)
                 else:
                     seen.add(at)
         found = []
         for item, starts in spots.items():
-            item_id, n, k, peq, _ = self.items[item]
+            item_id, n, k, peq, _, m, short = self.items[item]
+            within = padded if short else text
             best, reach = k + 1, -1
             windows: list[list[int]] = []
             for s in sorted(starts):
-                a, b = max(0, s - k), s + n + k
+                a, b = max(0, s - k), s + m + k
                 if a <= reach:
                     windows[-1][1] = reach = b
                 else:
                     windows.append([a, b])
                     reach = b
             for a, b in windows:
-                best = min(best, least_distance(peq, n, text[a:b]))
+                best = min(best, least_distance(peq, m, within[a:b]))
             if best <= k:
                 found.append((item_id, best, n))
         return found
