@@ -42,7 +42,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 CLOSES_P = BLOCK_TAGS - frozenset("button option select summary caption legend tbody td tfoot th thead tr body html".split())
 
 _PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|[^<]+|<", re.S)
-_NAME = re.compile(r"\b(class|id|role|data-label|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: One attribute after another, so that no name is looked for inside another's value.
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|[^\s>]+))?")
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -64,7 +65,7 @@ def _names(attributes: str) -> tuple[tuple[str, ...], bool, str | None]:
     """Name parts of class, id and role; whether the element is hidden; its label on labelled pages."""
     parts: list[str] = []
     hidden, label = False, None
-    for name, value in _NAME.findall(attributes):
+    for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "data-label":
             label = value
@@ -72,7 +73,7 @@ def _names(attributes: str) -> tuple[tuple[str, ...], bool, str | None]:
             hidden = True
         elif name == "style":
             hidden = hidden or re.search(r"display\s*:\s*none", value) is not None
-        else:
+        elif name in ("class", "id", "role"):
             parts += _PART.findall(_CAMEL.sub(" ", value).lower())
     return tuple(parts), hidden, label
 
