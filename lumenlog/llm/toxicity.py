@@ -3,7 +3,8 @@
 Labelled examples, at most ``EXAMPLES`` of them drawn by a hash of doc_id (a
 documented bound), become vectors over terms: lower-cased words and the
 beginnings of words, kept where the examples' labels make them tell (a
-likelihood-ratio statistic of at least ``TELLING`` in favour of label 1 or 0). The
+likelihood-ratio statistic of at least ``TELLING`` in favour of label 1, in over two
+examples; with few labels none may pass, and all texts score alike). The
 ``NEAREST`` examples of a text are found exactly with a block-max inverted index:
 examples stand in blocks of ``BLOCK``, each term knows its greatest weight in each
 block, and blocks are visited from the highest bound down until no bound can
