@@ -59,16 +59,20 @@ def parse_number(col: Column) -> Column:
     return F.when(col.rlike(NUMERIC_TEXT), F.trim(col).try_cast("double"))
 
 
+#: Fixed value: the most days that a duration can have.
+MOST_DAYS = 10675199
+
+
 def parse_duration(col: Column) -> Column:
-    """``d`` or ``[d.]hh:mm[:ss[.fffffff]]`` as an interval; zero where it is neither."""
-    rx = r"^\s*(-)?(?:(\d+)|(?:(\d+)\.)?(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,7}))?)?)\s*$"
+    """``d`` or ``[d.]hh:mm[:ss[.fffffff]]`` as an interval; zero where it is neither, or over ``MOST_DAYS``."""
+    rx = r"^\s*(-)?(?:(0*\d{1,8})|(?:(0*\d{1,8})\.)?(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,7}))?)?)\s*$"
 
     def part(n: int) -> Column:
         return F.coalesce(F.nullif(F.regexp_extract(col, rx, n), F.lit("")).cast("bigint"), F.lit(0).cast("bigint"))
 
     fraction = F.rpad(F.regexp_extract(col, rx, 7), 7, "0").cast("bigint") / 10
     micros = ((part(2) + part(3)) * 86400 + part(4) * 3600 + part(5) * 60 + part(6)) * 1000000 + F.floor(F.coalesce(fraction, F.lit(0.0))).cast("bigint")
-    good = col.rlike(rx) & (part(4) < 24) & (part(5) < 60) & (part(6) < 60)
+    good = col.rlike(rx) & (part(2) + part(3) <= MOST_DAYS) & (part(4) < 24) & (part(5) < 60) & (part(6) < 60)
     signed = F.when(F.regexp_extract(col, rx, 1) == "-", -micros).otherwise(micros)
     return from_micros(F.when(F.coalesce(good, F.lit(False)), signed).otherwise(F.lit(0).cast("bigint")))
 
@@ -126,7 +130,7 @@ def java_format(fmt: str) -> str:
 
 def is_date_format(fmt: str) -> bool:
     """Whether text is a .NET date format: parts of a date, no other letters outside quotes."""
-    bare = re.sub(r"'[^']*'|\"[^\"]*\"|\\\\.", "", fmt)
+    bare = re.sub(r"'[^']*'|\"[^\"]*\"|\\.", "", fmt)
     letters = {c for c in bare if c.isalpha()}
     return bool(letters & set("yMdHhms")) and letters <= set("dfFgGHhKmMstTyzZ")
 

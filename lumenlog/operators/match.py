@@ -20,13 +20,19 @@ from lumenlog.operators.pattern import compile_pattern
 from lumenlog.plans.syntax import Combined, Not, Phrase, Scan
 
 
+#: The struct that holds what captures took from a line.
+RAW = "__raw"
+
+
 @dataclass
 class Match:
     condition: Column | None  # None: every line
     fields: dict[str, Value] = field(default_factory=dict)
+    #: What captured numbers must satisfy besides, where captures are taken once (``raws``).
+    late: list[Column] = field(default_factory=list)
 
 
-def _phrase(node: Phrase, text: Column) -> Match:
+def _phrase(node: Phrase, text: Column, raws: list[Column] | None) -> Match:
     p = compile_pattern(node.pattern)
     if not p.needles:
         text = F.coalesce(text, F.lit(""))  # only phrases without tokens can match an empty line
@@ -36,15 +42,19 @@ def _phrase(node: Phrase, text: Column) -> Match:
     if p.regex:
         tests.append(text.rlike(p.regex))
     fields: dict[str, Value] = {}
+    late: list[Column] = []
     # The last format given in a phrase holds for all its times.
     formats = [c.kind for c in p.captures if c.kind not in ("string", "number", "time")]
     for c in p.captures:
         raw = F.regexp_extract(text, p.regex, c.group)
+        if raws is not None:
+            raws.append(raw.alias(f"r{len(raws)}"))
+            raw = F.col(f"{RAW}.r{len(raws) - 1}")
         if c.kind == "string":
             fields[c.name] = Value(raw, STRING)
         elif c.kind == "number":
             number = parse_number(raw)
-            tests.append(number.isNotNull())
+            (tests if raws is None else late).append(number.isNotNull())
             fields[c.name] = Value(number, NUMBER)
         else:
             if c.kind != "time" and not is_date_format(c.kind):
@@ -52,28 +62,32 @@ def _phrase(node: Phrase, text: Column) -> Match:
             fields[c.name] = Value(parse_time(raw, formats[-1]) if formats else parse_time(raw), TIME)
     if node.marker:
         fields[node.marker] = Value(F.lit(node.value), STRING)
-    return Match(reduce(lambda a, b: a & b, tests) if tests else None, fields)
+    return Match(reduce(lambda a, b: a & b, tests) if tests else None, fields, late)
+
 
+def compile_match(node: object, text: Column, top: bool = True, raws: list[Column] | None = None) -> Match:
+    """``text`` may be null: a null line is empty. Where a condition only filters (``top``) null is as good as false.
 
-def compile_match(node: object, text: Column, top: bool = True) -> Match:
-    """``text`` may be null: a null line is empty. Where a condition only filters (``top``) null is as good as false."""
+    With ``raws``, a list to be filled, the captures of phrases that must all match are put there, to be
+    taken once per line into a struct ``RAW``, which the fields and ``late`` then read.
+    """
     if isinstance(node, Scan):
         return Match(None)
     if isinstance(node, Phrase):
-        return _phrase(node, text if top else F.coalesce(text, F.lit("")))
+        return _phrase(node, text if top else F.coalesce(text, F.lit("")), raws if top else None)
     if isinstance(node, Not):
         inner = compile_match(node.inner, text, False)
         return Match(F.lit(False) if inner.condition is None else ~inner.condition)
     if not isinstance(node, Combined):
         raise QueryError(f"{node!r} can't be searched for")
-    parts = [compile_match(p, text, top and node.op == "and") for p in node.parts]
+    parts = [compile_match(p, text, top and node.op == "and", raws) for p in node.parts]
     conditions = [F.lit(True) if p.condition is None else p.condition for p in parts]
     if node.op == "and":
         fields: dict[str, Value] = {}
         for p in parts:
             _agree(fields, p.fields)
             fields |= p.fields
-        return Match(reduce(lambda a, b: a & b, conditions), fields)
+        return Match(reduce(lambda a, b: a & b, conditions), fields, [x for p in parts for x in p.late])
     fields = {}
     for p in parts:
         _agree(fields, p.fields)

@@ -51,10 +51,10 @@ def tokens_of(text: Column) -> Column:
 def vocabulary(log: DataFrame, text: str = "message", least: int = MIN_TOKEN) -> DataFrame:
     """(token, lines, occurrences): distinct tokens with partial counts before the shuffle."""
     found = F.array_sort(F.filter(tokens_of(F.col(text)), lambda t: F.length(t) >= least))
-    each = log.select(F.posexplode(found).alias("at", "token"), found.alias("all"))
-    # Tokens are sorted: the first of each run of equals counts the line.
-    new = (F.col("at") == 0) | (F.col("token") != F.get("all", F.col("at") - 1))
-    return each.groupBy("token").agg(F.count_if(new).alias("lines"), F.count(F.lit(1)).alias("occurrences"))
+    # Tokens are sorted: the first of each run of equals counts the line. Only a token and that mark leave the line.
+    marked = F.transform(F.array(found), lambda a: F.transform(a, lambda t, k: F.struct(t.alias("token"), ((k == 0) | (t != F.get(a, k - 1))).alias("new"))))
+    each = log.select(F.explode(F.element_at(marked, 1)).alias("t")).select("t.token", "t.new")
+    return each.groupBy("token").agg(F.count_if(F.col("new")).alias("lines"), F.count(F.lit(1)).alias("occurrences"))
 
 
 def estimate(log: DataFrame, phrase: str, text: str = "message") -> DataFrame:

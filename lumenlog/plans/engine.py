@@ -18,11 +18,27 @@ from lumenlog.errors import QueryError
 from lumenlog.functions.expressions import compile_expression, condition
 from lumenlog.functions.values import NULL, NUMBER, Value, from_field
 from lumenlog.operators import aggregates, parsers
-from lumenlog.operators.match import compile_match
+from lumenlog.operators.match import RAW, compile_match
 from lumenlog.plans.syntax import Aggregate, Item, Query, describe, parse
 from lumenlog.sources.shared import folder
 
 PAGE = 1024
+#: Pages that end beyond this place are found by ranges.
+DEEP = 100_000
+
+
+class Indexer:
+    """What a plugin that indexes lines does; subclasses override what they need."""
+
+    def initialize(self, columns: list[str]) -> None:
+        """Before any line is seen."""
+
+    def update(self, log: Log) -> DataFrame:
+        """The indexer's rows for the lines of a log."""
+        raise NotImplementedError
+
+    def complete(self, error: Exception | None) -> None:
+        """After the rows were taken, or could not be."""
 
 
 @dataclass(frozen=True)
@@ -32,24 +48,46 @@ class Log:
     df: DataFrame
     order: tuple[str, ...]
     message: str = "message"
+    #: Whether lines are made from other columns, so that they are worth keeping once made.
+    rendered: bool = False
 
     @staticmethod
     def from_table(df: DataFrame, text: str | Column, order_by: str | list[str]) -> Log:
         """Any DataFrame as a log: ``text`` is the line, the other columns are fields."""
         order = (order_by,) if isinstance(order_by, str) else tuple(order_by)
         column = F.col(text) if isinstance(text, str) else text
-        return Log(df.withColumn("message", column.cast("string")), order)
+        return Log(df.withColumn("message", column.cast("string")), order, rendered=not isinstance(text, str))
 
     def query(self, text: str | None) -> Result:
         return Result(self, parse(text))
 
     def at(self, rows: DataFrame) -> Log:
         """The lines whose key columns are among those of ``rows``."""
-        return Log(self.df.join(rows.select(*self.order).distinct(), list(self.order), "left_semi"), self.order, self.message)
-
-    def index_with(self, indexers: dict[str, Callable[[Log], DataFrame]]) -> dict[str, DataFrame]:
-        """What each indexer makes of the log's lines, lazily."""
-        return {name: f(self) for name, f in indexers.items()}
+        return Log(self.df.join(rows.select(*self.order).distinct(), list(self.order), "left_semi"), self.order, self.message, self.rendered)
+
+    def index_with(self, indexers: dict[str, Callable[[Log], DataFrame] | Indexer], sink: Callable[[str, DataFrame], None] | None = None) -> dict[str, DataFrame]:
+        """What each indexer makes of the log's lines, lazily.
+
+        An ``Indexer`` is told to initialize with the log's columns first, makes its rows in ``update``,
+        and is told to complete, or to fail, when ``sink`` has taken its rows; without a sink, at once.
+        """
+        out = {}
+        for name, f in indexers.items():
+            if not isinstance(f, Indexer):
+                out[name] = f(self)
+            else:
+                f.initialize(self.df.columns)
+                out[name] = f.update(self)
+            try:
+                if sink is not None:
+                    sink(name, out[name])
+            except Exception as error:
+                if isinstance(f, Indexer):
+                    f.complete(error)
+                raise
+            if isinstance(f, Indexer):
+                f.complete(None)
+        return out
 
     def read(self) -> DataFrame:
         """All lines in log order."""
@@ -71,6 +109,11 @@ class _State:
         return F.struct(*[F.col(f"`{o}`") for o in self.order])
 
 
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with a column that is evaluated once per row: filters on it aren't pushed below its making."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def _distinct_names(items: list[Item]) -> None:
     names = [i.name for i in items]
     for n in names:
@@ -89,11 +132,18 @@ class Result:
 
     def _search(self) -> _State:
         log = self.log
-        m = compile_match(self.query.search, F.col(f"`{log.message}`"))
-        df = log.df if m.condition is None else log.df.filter(m.condition)
+        raws: list[Column] = []
+        m = compile_match(self.query.search, F.col(f"`{log.message}`"), raws=raws)
+        df = log.df
+        if m.condition is not None:
+            df = (_once(df, F.col(f"`{log.message}`"), log.message) if log.rendered else df).filter(m.condition)
+        if raws:
+            df = _once(df, F.struct(*raws), RAW)
+        for test in m.late:
+            df = df.filter(test)
         order = {f"__o{n}": F.col(f"`{c}`") for n, c in enumerate(log.order)}
         columns, fields = [], {}
-        for n, f in enumerate(log.df.schema.fields):
+        for n, f in enumerate(log.df.schema.fields):  # RAW isn't among them
             columns.append(F.col(f"`{f.name}`").alias(f"c{n}"))
             fields[f.name] = from_field(F.col(f"c{n}"), f.dataType)
         fields["message"] = fields.pop(log.message)
@@ -185,14 +235,22 @@ class Result:
         return s.df.orderBy(*s.sort, *s.order).select(*self._shown())
 
     def page(self, start: int = 0, size: int = PAGE) -> DataFrame:
+        """``size`` rows from place ``start`` on; pages beyond ``DEEP`` are cut from ranges, not from one task's top rows."""
         s = self._state
+        if start + size > DEEP:
+            rows = placed(s.df, self._keys(), "__place").filter((F.col("__place") >= start) & (F.col("__place") < start + size))
+            return rows.orderBy("__place").select(*self._shown())
         return s.df.orderBy(*s.sort, *s.order).offset(start).limit(size).select(*self._shown())
 
+    def _keys(self) -> list[Column]:
+        return [*self._state.sort, *[F.col(f"`{o}`").asc() for o in self._state.order]]
+
     def numbered(self, name: str = "index") -> DataFrame:
         """The rows with their places in the result, from 0."""
         s = self._state
-        keys = [*s.sort, *[F.col(f"`{o}`").asc() for o in s.order]]
-        return placed(s.df, keys, "__place").select(F.col("__place").alias(name), *self._shown())
+        if name in s.shown:
+            raise QueryError(f"two columns are named {name!r}")
+        return placed(s.df, self._keys(), "__place").select(F.col("__place").alias(name), *self._shown())
 
     def count(self) -> int:
         return self._state.df.count()
@@ -217,24 +275,33 @@ def placed(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     drawn by sampling, so they are written once to the shared folder and read by both sides.
     """
     spark = df.sparkSession
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id())
-    ranged = ranged.withColumn("__n", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("bigint"), 33))
+    p, n, c, at = (f"__placed_{x}" for x in ("range", "row", "size", "start"))
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(p, F.spark_partition_id())
+    ranged = ranged.withColumn(n, F.monotonically_increasing_id() - F.shiftleft(F.col(p).cast("bigint"), 33))
     path = folder(spark, "placed")
     ranged.write.parquet(path)
     ranged = spark.read.schema(ranged.schema).parquet(path)
-    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
+    sizes = ranged.groupBy(p).agg(F.count(F.lit(1)).alias(c))
     # One row per range, and at most as many as there are shuffle partitions: small by its making.
-    before = F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1))
-    starts = sizes.select("__p", F.coalesce(before, F.lit(0)).alias("__s"))
-    return ranged.join(F.broadcast(starts), "__p").withColumn(name, F.col("__s") + F.col("__n")).drop("__p", "__n", "__s")
+    before = F.sum(c).over(W.orderBy(p).rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select(p, F.coalesce(before, F.lit(0)).alias(at))
+    return ranged.join(F.broadcast(starts), p).withColumn(name, F.col(at) + F.col(n)).drop(p, n, at)
 
 
-def context(log: Log, at: Column, around: int = 5) -> DataFrame:
-    """Lines at most ``around`` places from each line that satisfies ``at``: hit, distance, index and the line.
+def context(log: Log, at: Column, around: int = 5, pad: bool = False, names: tuple[str, str, str] = ("hit", "distance", "index")) -> DataFrame:
+    """Lines at most ``around`` places from each line that satisfies ``at``: ``names`` (the hit's place, the distance, the line's place) and the line.
 
-    Only places that hits ask for are joined, so work grows with the hits, not with pairs of lines.
+    With ``pad``, places before the log's first line are rows too, without a place and a line. ``names`` must not be
+    columns of the log. Only places that hits ask for are joined, so work grows with the hits, not with pairs of lines.
     """
-    rows = placed(log.df.withColumn("__hit", F.coalesce(at, F.lit(False))), [F.col(f"`{o}`").asc() for o in log.order], "index")
-    hits = rows.filter("__hit").select(F.col("index").alias("hit"), F.explode(F.sequence(F.lit(-around), F.lit(around))).alias("distance"))
-    near = hits.withColumn("index", F.col("hit") + F.col("distance"))
-    return rows.drop("__hit").join(near, "index").select("hit", "distance", "index", *[f"`{c}`" for c in log.df.columns])
+    if clash := set(names) & set(log.df.columns):
+        raise QueryError(f"the log has columns named {sorted(clash)}; give other names")
+    rows = placed(log.df.withColumn("__context_hit", F.coalesce(at, F.lit(False))), [F.col(f"`{o}`").asc() for o in log.order], "__context_at")
+    hits = rows.filter("__context_hit").select(F.col("__context_at").alias("__hit_at"), F.explode(F.sequence(F.lit(-around), F.lit(around))).alias("__hit_off"))
+    near = hits.withColumn("__context_at", F.col("__hit_at") + F.col("__hit_off"))
+    near = near.filter("__context_at >= 0") if not pad else near
+    both = near.join(rows.withColumn("__context_on", F.lit(True)), "__context_at", "left" if pad else "inner")
+    if pad:
+        both = both.filter("__context_on OR __context_at < 0").withColumn("__context_at", F.expr("CASE WHEN __context_at >= 0 THEN __context_at END"))
+    mine = [F.col(c).alias(f"`{n}`".strip("`")) for c, n in zip(("__hit_at", "__hit_off", "__context_at"), names)]
+    return both.select(*mine, *[f"`{c}`" for c in log.df.columns])

@@ -7,19 +7,24 @@ language, and SQL that gives the same rows; queries that aren't plain language
 
 from __future__ import annotations
 
+import io
 import tempfile
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.operators import charts, index, tokens
-from lumenlog.plans.engine import Log, context
+from lumenlog.errors import QueryError
+from lumenlog.functions import scalar
+from lumenlog.functions.values import NUMBER, STRING, Value, convert
+from lumenlog.operators import aggregates, charts, index, parsers, tokens
+from lumenlog.plans.engine import Indexer, Log, context
 from lumenlog.sources.catalog import Catalog, SavedQuery
-from lumenlog.sources.files import from_lines, read_log
-from lumenlog.sources.shared import folder
+from lumenlog.sources.files import MARKS, from_lines, read_log, read_splits
+from lumenlog.sources.shared import folder, remove
 from lumenlog.sources.sinks import row_text, write_csv
-from lumenlog.streaming.logs import lines, transform
+from lumenlog.streaming.logs import lines, on_change, transform
 
 # ---------------------------------------------------------------- views
 
@@ -174,6 +179,13 @@ CASES: list[tuple[str, str, str, str]] = [
     _fn("time_failed", 'time(l_returnflag, "yyyy-MM-dd") < time("0001-01-02", "yyyy-MM-dd")', "true"),
     ("fn_bin_time_minutes", "events", '* select event_id as id, bin(ts, "00:10:00") as v', "SELECT event_id::DOUBLE AS id, make_timestamp((epoch_us(ts) + 62135596800000000) // 600000000 * 600000000 - 62135596800000000) AS v FROM events"),
     ("fn_duration", "events", '* where duration("1.02:03:04") > duration("1.00:00") select event_id as id', "SELECT event_id::DOUBLE AS id FROM events"),
+    ("fn_bin_time_interval", "events", '* select event_id as id, bin(ts, duration("01:00")) as v', "SELECT event_id::DOUBLE AS id, date_trunc('hour', ts) AS v FROM events"),
+    ("fn_bin_text_text", "orders", '* select o_orderkey as k, bin("1995-03-04 05:06:07,000", "01:00") as v', "SELECT o_orderkey::DOUBLE AS k, TIMESTAMP '1995-03-04 05:00:00' AS v FROM orders"),
+    ("fn_bin_interval_interval", "events", '* where bin(ts - time("2024-01-01", "yyyy-MM-dd"), duration("1.00:00")) == duration("2") select event_id as id', "SELECT event_id::DOUBLE AS id FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-04'"),
+    ("fn_time_text", "events", '"{at} [" select event_id as id, time(at) as v', "SELECT event_id::DOUBLE AS id, date_trunc('milliseconds', ts) AS v FROM events"),
+    ("fn_time_object", "events", "* select event_id as id, time(ts) as v", "SELECT event_id::DOUBLE AS id, ts AS v FROM events"),
+    ("fn_duration_column", "part", '* where duration(p_name) == duration("0") select p_partkey as k', "SELECT p_partkey::DOUBLE AS k FROM part"),
+    ("fn_number_column", "orders", '"ORDER {n} customer" select o_orderkey as k, number(n) as v', "SELECT o_orderkey::DOUBLE AS k, o_orderkey::DOUBLE AS v FROM orders"),
     ("fn_bin_duration", "events", '* where bin(ts - time("2024-01-01", "yyyy-MM-dd"), "1.00:00:00") == duration("2") select event_id as id', "SELECT event_id::DOUBLE AS id FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-04'"),
     ("fn_contains", "part", '* where contains(p_name, "a") select p_partkey as k', "SELECT p_partkey::DOUBLE AS k FROM part WHERE contains(p_name, 'a')"),
     ("fn_startswith", "part", '* where startswith(p_brand, "Brand#1") select p_partkey as k', "SELECT p_partkey::DOUBLE AS k FROM part WHERE starts_with(p_brand, 'Brand#1')"),
@@ -230,7 +242,7 @@ def row_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context(events_log(spark, sf_dir), F.col("value") > 500).select("hit", "distance", "index", "event_id")
+    return context(events_log(spark, sf_dir), F.col("value") > 200).select("hit", "distance", "index", "event_id")
 
 
 def random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,10 +339,183 @@ def plan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, line) for n, line in enumerate(r.plan().split("\n"))], "n long, line string")
 
 
+def whole_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders_log(spark, sf_dir).read().select("o_orderkey", "message")
+
+
+def context_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context(events_log(spark, sf_dir), F.col("event_id") == 2, pad=True, names=("of", "off", "place")).select("of", "off", "place", "event_id")
+
+
+def _put(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file in the shared folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(content))
+    out.close()
+
+
+def _nation_lines(spark: SparkSession, sf_dir: str) -> list[str]:
+    """A line for each of the 25 nations."""
+    rows = _table(spark, sf_dir, "nation").orderBy("n_nationkey").limit(25).collect()
+    return [f"nation {r['n_nationkey']} named {r['n_name']} in {r['n_regionkey']}" for r in rows]
+
+
+def zip_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive of two members: even and odd lines."""
+    made, said = io.BytesIO(), _nation_lines(spark, sf_dir)
+    with zipfile.ZipFile(made, "w") as z:
+        z.writestr("m1.log", "\n".join(said[::2]))
+        z.writestr("m2.log", "\r\n".join(said[1::2]) + "\r\n")
+    path = folder(spark, "zipped") + ".zip"
+    _put(spark, path, made.getvalue())
+    return read_log(spark, path).query('"nation {k:number} named" where k > 3 select k, member, line').df
+
+
+def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines in files of different encodings, told by their first bytes."""
+    path, said = folder(spark, "encoded"), "\n".join(_nation_lines(spark, sf_dir)[:5])
+    for n, (mark, name) in enumerate(MARKS[:5]):
+        _put(spark, f"{path}/log.{n}", mark + said.encode(name))
+    return read_log(spark, path).query('"nation {k:number} named {name} in" group by k, name select count(*) as n').df
+
+
+def file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in the order of log rotation."""
+    path = folder(spark, "rotated")
+    for name in ("log.1.2", "log.5", "log.10", "log"):
+        _put(spark, f"{path}/{name}", name.encode())
+    return read_log(spark, path).query("*").numbered("place")
+
+
+def splits_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "split")
+    orders_log(spark, sf_dir).df.select(F.col("message").alias("value")).write.text(path)
+    return read_splits(spark, path).query('"status=O" group by file select count(*) as n').df.agg(F.sum("n").cast("long").alias("n"))
+
+
+def refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query run again after one file changed, one went and one came."""
+    path, said = folder(spark, "growing"), _nation_lines(spark, sf_dir)
+    for n in range(3):
+        _put(spark, f"{path}/log.{n}", "\n".join(said[n * 5 : n * 5 + 5]).encode())
+    ix = index.LogIndex(spark, folder(spark, "growing-index"), [path])
+    ix.refresh()
+    _put(spark, f"{path}/log.0", "\n".join(said[15:25]).encode())
+    _put(spark, f"{path}/log.3", said[0].encode())
+    remove(spark, f"{path}/log.2")
+    return ix.query('"nation {k:number} named" select k', "nation")
+
+
+def _indexed(spark: SparkSession, log: Log) -> DataFrame:
+    path = folder(spark, "token-index")
+    index.write(log, path)
+    return spark.read.parquet(path)
+
+
+def index_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in which one token stands right of another."""
+    log = documents_log(spark, sf_dir)
+    return index.matching(_indexed(spark, log), log, ["the", "and"]).df.select("doc_id", "line")
+
+
+def index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = orders_log(spark, sf_dir)
+    found = index.matching(_indexed(spark, log), log, index.phrase_tokens("URGENT"), exact=True)
+    both = index.matching(_indexed(spark, log), log, index.phrase_tokens("status=F priority"), exact=True)
+    return found.df.select("o_orderkey", F.lit("one").alias("how")).union(both.df.select("o_orderkey", F.lit("two")))
+
+
+def index_no_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = part_log(spark, sf_dir)
+    return index.matching(_indexed(spark, log), log, []).df.select("p_partkey")
+
+
+def index_append_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of an index to which a second file's lines were added and from which the first file's were taken."""
+    n = _table(spark, sf_dir, "nation")
+    def log(file, low, high):
+        return Log(n.filter((F.col("n_nationkey") >= low) & (F.col("n_nationkey") < high)).select(F.lit(file).alias("file"), F.col("n_nationkey").cast("long").alias("position"), F.col("n_name").alias("message")), ("position",))
+    path = folder(spark, "token-index")
+    index.write(log("a", 0, 10), path)
+    index.write(log("b", 10, 15), path, "append")
+    index.write(log("b", 15, 25), path, "append")
+    return index.remove(spark.read.parquet(path), "a").select("token", "position")
+
+
+def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was told of new lines, batch by batch."""
+    path, told = folder(spark, "arriving"), folder(spark, "told")
+    orders_log(spark, sf_dir).df.select(F.col("message").alias("value")).write.text(path)
+    act = lambda batch, n: batch.agg(F.count(F.lit(1)).alias("n")).write.mode("append").parquet(told)
+    stream = transform(lines(spark, path), '"status=P"')
+    on_change(stream, act, folder(spark, "stream-state")).processAllAvailable()
+    return spark.read.parquet(told).agg(F.sum("n").cast("long").alias("n"))
+
+
+def streaming_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binned times behind a watermark."""
+    path = folder(spark, "arriving")
+    _table(spark, sf_dir, "events").select("ts", "event_type").write.parquet(path)
+    stream = spark.readStream.schema("ts timestamp_ntz, event_type string").parquet(path).withColumn("message", F.col("event_type"))
+    name = "binned_" + path.rsplit("-", 1)[1]
+    out = transform(stream, '* group by bin(ts, "01:00:00") as h select count(*) as n', late="1 hour", time="ts")
+    out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", folder(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def registries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered function, aggregate and parser in one query."""
+    scalar.register("twice", 1, 1, lambda args, raw: Value(convert(args[0], NUMBER).col * 2, NUMBER))
+    aggregates.register("spread", lambda v, key: (F.max(convert(v, NUMBER).col) - F.min(convert(v, NUMBER).col), NUMBER))
+    parsers.register("dashes", lambda log, text, key: parsers.Parsed(F.contains(text, F.lit("-")), {"level": Value(F.substring_index(text, "-", 1), STRING)}, False))
+    return orders_log(spark, sf_dir).query("* parse dashes(o_orderpriority) where level != nothing group by level as p select spread(twice(number(level))) as z, count(*) as n").df
+
+
+class _Counts(Indexer):
+    """A plugin that counts lines, and is told before and after."""
+
+    def __init__(self):
+        self.told: list[str] = []
+
+    def initialize(self, columns: list[str]) -> None:
+        self.told.append("begin")
+
+    def update(self, log: Log) -> DataFrame:
+        self.told.append("update")
+        return log.df.agg(F.count(F.lit(1)).alias("n"))
+
+    def complete(self, error: Exception | None) -> None:
+        self.told.append("end")
+
+
+def plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _Counts()
+    return orders_log(spark, sf_dir).index_with({"counts": p})["counts"].withColumn("told", F.lit(" ".join(p.told)))
+
+
+def _refused(build: Callable[[], object]) -> bool:
+    try:
+        build()
+    except QueryError:
+        return True
+    return False
+
+
+def refused_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which patterns, calls and charts are refused."""
+    log = part_log(spark, sf_dir)
+    said = ['"{"', '"a{}"', '"a**b"', '"{a}{b}"', '"a?b"', "* select mean(p_size, 1)", "* select min(p_size, 1)", "* select nope(1)", "* parse nope"]
+    rows = [(t, _refused(lambda t=t: log.query(t))) for t in said]
+    df = log.query("* select p_name, p_size").df
+    rows += [(f"{kind} {axis}", _refused(lambda k=kind, a=axis: charts.check(k, df, a))) for kind in ("column", "pie", "line", "step", "point") for axis in ("p_name", "p_size")]
+    return spark.createDataFrame(rows, "what string, refused boolean")
+
+
 FUNCTIONS: list[tuple[Callable[[SparkSession, str], DataFrame], str | None]] = [
     (paging, "SELECT o_orderkey::DOUBLE AS k, o_totalprice AS p FROM orders ORDER BY p, o_orderkey LIMIT 50 OFFSET 100"),
     (row_places, "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place, o_orderkey::DOUBLE AS k FROM orders WHERE o_orderstatus = 'F'"),
-    (context_lines, "WITH r AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS index, event_id, value FROM events) SELECT h.index AS hit, r.index - h.index AS distance, r.index AS index, r.event_id FROM r JOIN r AS h ON r.index BETWEEN h.index - 5 AND h.index + 5 WHERE h.value > 500"),
+    (context_lines, "WITH r AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS index, event_id, value FROM events) SELECT h.index AS hit, r.index - h.index AS distance, r.index AS index, r.event_id FROM r JOIN r AS h ON r.index BETWEEN h.index - 5 AND h.index + 5 WHERE h.value > 200"),
     (random_access, "SELECT o_orderkey::DOUBLE AS k FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)"),
     (column_metadata, "SELECT * FROM (VALUES ('at', 'time', 'yyyy-MM-dd HH:mm:ss,SSS'), ('user', 'number', ''), ('kind', 'string', ''), ('none', 'duration', '')) AS t(name, kind, format)"),
     (token_vocabulary, f"WITH t AS (SELECT o_orderkey, unnest(regexp_extract_all(regexp_replace(message, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[0-9]+|[A-Za-z]+')) AS token FROM {_OR}) SELECT token, count(DISTINCT o_orderkey) AS lines, count(*) AS occurrences FROM t WHERE length(token) >= 3 GROUP BY 1"),
@@ -347,7 +532,23 @@ FUNCTIONS: list[tuple[Callable[[SparkSession, str], DataFrame], str | None]] = [
     (streaming_search, "SELECT o_custkey::DOUBLE AS c FROM orders WHERE o_orderstatus = 'F' AND o_custkey < 50"),
     (streaming_groups, "SELECT o_orderstatus AS s, count(*) AS n, sum(o_custkey)::DOUBLE AS t FROM orders GROUP BY 1"),
     (saved_query, "SELECT o_orderkey::DOUBLE AS k FROM orders WHERE o_orderstatus = 'O'"),
-    (plan_text, None),
+    (plan_text, "SELECT n::BIGINT AS n, line FROM (VALUES (0, '+ Limit [3]'), (1, '  + OrderBy [k asc]'), (2, '    + Select [k]'), (3, '      + Where [Binary(op=''>'', left=Field(name=''o_totalprice''), right=Literal(value=5.0))]'), (4, '        + And'), (5, '          + Phrase [''ORDER'']'), (6, '          + Not'), (7, '            + Phrase [''URGENT'']')) AS t(n, line)"),
+    (whole_read, f"SELECT o_orderkey, message FROM {_OR}"),
+    (context_padded, "SELECT 2::BIGINT AS of, d AS off, CASE WHEN d >= -2 THEN d + 2 END AS place, CASE WHEN d >= -2 THEN d + 2 END AS event_id FROM (SELECT unnest(range(-5, 6)) AS d)"),
+    (zip_source, "SELECT k::DOUBLE AS k, CASE WHEN k % 2 = 0 THEN 'm1.log' ELSE 'm2.log' END AS member, (k // 2 + 1)::DOUBLE AS line FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey BETWEEN 4 AND 24)"),
+    (encodings, "SELECT n_nationkey::DOUBLE AS k, n_name AS name, 5::BIGINT AS n FROM nation WHERE n_nationkey < 5"),
+    (file_order, "SELECT * FROM (VALUES (0::BIGINT, 'log.1.2'), (1::BIGINT, 'log.10'), (2::BIGINT, 'log.5'), (3::BIGINT, 'log')) AS t(place, message)"),
+    (splits_source, "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'O'"),
+    (refreshed, "SELECT n_nationkey::DOUBLE AS k FROM nation WHERE n_nationkey BETWEEN 15 AND 24 OR n_nationkey BETWEEN 5 AND 9 OR n_nationkey = 0"),
+    (index_positions, f"SELECT doc_id, line::INTEGER AS line FROM (SELECT doc_id, unnest(ls) AS message, unnest(range(1, len(ls) + 1)) AS line FROM (SELECT doc_id, CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END AS ls FROM (SELECT doc_id, string_split(coalesce(\"text\", ''), chr(10)) AS ls FROM documents))) WHERE regexp_matches(message, '(^|[^\\p{{L}}])the([^\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}].*|[^\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}])and([^\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}]|$)') AND regexp_matches(message, '(^|[^\\p{{L}}])the([^\\p{{L}}]|[^\\p{{L}}].*[^\\p{{L}}])and([^\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}]|$)')"),
+    (index_exact, "SELECT o_orderkey, 'one' AS how FROM orders WHERE contains(o_orderpriority, 'URGENT') UNION ALL SELECT o_orderkey, 'two' FROM orders"),
+    (index_no_tokens, "SELECT p_partkey FROM part"),
+    (index_append_remove, "SELECT unnest(regexp_extract_all(n_name, '[A-Za-z]+|[0-9]{3,}')) AS token, n_nationkey::BIGINT AS position FROM nation WHERE n_nationkey >= 10"),
+    (change_events, "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P'"),
+    (streaming_bins, "SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1"),
+    (registries, "SELECT split_part(o_orderpriority, '-', 1) AS p, 0::DOUBLE AS z, count(*) AS n FROM orders WHERE contains(o_orderpriority, '-') GROUP BY 1"),
+    (plugin, "SELECT count(*) AS n, 'begin update end' AS told FROM orders"),
+    (refused_queries, "SELECT * FROM (VALUES ('\"{\"', true), ('\"a{}\"', true), ('\"a**b\"', true), ('\"{a}{b}\"', true), ('\"a?b\"', false), ('* select mean(p_size, 1)', true), ('* select min(p_size, 1)', false), ('* select nope(1)', true), ('* parse nope', true), ('column p_name', false), ('column p_size', true), ('pie p_name', false), ('pie p_size', true), ('line p_name', true), ('line p_size', false), ('step p_name', true), ('step p_size', false), ('point p_name', true), ('point p_size', false)) AS t(what, refused)"),
 ]
 
 

@@ -54,10 +54,9 @@ def compare_names(a: str, b: str) -> int:
     x, y = ([int(n) for n in re.findall(r"\d+", s)] for s in (a, b))
     if not x and not y:
         return sign * ((a > b) - (a < b))
-    for i, j in zip(x, y):
-        if i != j:
-            return sign * (1 if i > j else -1)
-    return sign * ((len(x) > len(y)) - (len(x) < len(y)))
+    # More numbers come after fewer, whatever their values.
+    a, b = (len(x), x), (len(y), y)
+    return sign * ((a > b) - (a < b))
 
 
 def ranked(names: list[str]) -> dict[str, int]:

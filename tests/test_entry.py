@@ -32,6 +32,7 @@ def test_query_equals_sql(spark, sql, name):
     assert sorted(columns) == names
     theirs = [tuple(cell(r[columns.index(n)]) for n in names) for r in expect.fetchall()]
     ours = [tuple(cell(r[n]) for n in names) for r in df.collect()]
+    assert ours, "a query without rows shows nothing"
     assert sorted(map(repr, ours)) == sorted(map(repr, theirs))
 
 

@@ -2,6 +2,7 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenlog import Log, QueryError
 from lumenlog.plans.syntax import Aggregate, Binary, Combined, Literal, Phrase, Scan, parse
@@ -105,3 +106,19 @@ def test_parsers(spark):
     assert [tuple(r) for r in log.query("* parse test limit 1").df.collect()] == [(1.0, "2", 3.1)]
     empty = Log.from_table(spark.createDataFrame([], "n long, line string"), "line", "n")
     assert empty.query("* parse json").df.count() == 0 and empty.query("* parse csv").df.count() == 0
+
+
+def test_long_durations_and_escaped_letters(spark):
+    from lumenlog.functions.values import is_date_format, parse_duration
+
+    df = spark.createDataFrame([("99999999999999999999",), ("99999999999",), ("1.02:03:04",), ("x",), ("0000000000000002",)], "t string")
+    got = [r["v"].total_seconds() for r in df.select(parse_duration(F.col("t")).alias("v")).collect()]
+    assert got == [0, 0, 93784, 0, 172800]
+    assert is_date_format("yyyy\\eMM") and not is_date_format("yyyyeMM")
+
+
+def test_captures_are_taken_once(spark):
+    from lumenlog.queries import queries
+
+    plan = queries()["capture_number"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 3 and plan.count("format_string") == 1

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenlog.operators import charts, index, tokens
-from lumenlog.plans.engine import Log, context
-from lumenlog.sources import files
+from lumenlog.plans import engine
+from lumenlog.plans.engine import Indexer, Log, context
+from lumenlog.sources import files, shared
 from lumenlog.sources.catalog import Catalog, SavedQuery
 from lumenlog.sources.sinks import row_text, write_csv, write_text
 from lumenlog.streaming import logs as streaming
@@ -37,6 +38,78 @@ def test_file_order():
     ]
 
 
+def test_more_numbers_come_after_fewer():
+    names = ["log.5", "log.1.2", "log", "log.10"]
+    assert sorted(names, key=files.ranked(names).get) == ["log.1.2", "log.10", "log.5", "log"]
+
+
+def test_context_keeps_the_logs_columns(spark):
+    log = Log.from_table(spark.range(8).selectExpr("id AS index", "id * 100 AS hit", "'x' AS t"), "t", "index")
+    with pytest.raises(ValueError):
+        context(log, F.col("index") == 1)
+    got = context(log, F.col("index") == 1, pad=True, names=("a", "b", "c")).orderBy("b").collect()
+    assert [r["c"] for r in got] == [None] * 4 + list(range(7)) and [r["hit"] for r in got][4:] == [100 * k for k in range(7)]
+
+
+def test_deep_pages(spark, monkeypatch):
+    monkeypatch.setattr(engine, "DEEP", 3)
+    r = Log.from_table(spark.range(50).selectExpr("id", "id % 7 AS v", "'x' AS t"), "t", "id").query("* select id, v order by v")
+    every = [tuple(x) for x in r.ordered().collect()]
+    assert [tuple(x) for x in r.page(10, 5).collect()] == every[10:15]
+    with pytest.raises(ValueError):
+        r.numbered("v")
+
+
+def test_shared_folder(spark, tmp_path):
+    class Far:
+        master, applicationId = "spark://far:7077", "x"
+
+    class Session:
+        sparkContext = Far
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(ValueError):
+        shared.top(Session)
+    name = shared.folder(spark, "probe")
+    spark.range(3).write.parquet(name)
+    assert name.startswith(spark.conf.get("spark.checkpoint.dir")) and spark.read.parquet(name).count() == 3
+    shared.remove(spark, name)
+    with pytest.raises(Exception):
+        spark.read.parquet(name)
+
+
+def test_index_order_and_refresh(spark, tmp_path):
+    log = Log.from_table(spark.createDataFrame([(1, "alpha beta gamma"), (2, "gamma alpha"), (3, "beta beta alpha")], "id long, t string"), "t", "id")
+    index.write(log, str(tmp_path / "ix"))
+    ix = spark.read.parquet(str(tmp_path / "ix"))
+    ids = lambda tokens, **k: sorted(r["id"] for r in index.search(ix, tokens, ("id",), **k).collect())
+    assert ids(["alpha"]) == [1, 2, 3] and ids(["alpha", "gamma"]) == [1] and ids(["gamma", "alpha"]) == [2] and ids(["beta", "zzz"]) == []
+    assert ids(index.phrase_tokens("beta gamma"), exact=True) == [1] and ids(index.phrase_tokens("alpha gamma"), exact=True) == []
+    assert index.matching(ix, log, []).df.count() == 3
+    with pytest.raises(ValueError):
+        index.write(log, str(tmp_path / "ix"), "append")
+
+
+def test_indexer_is_told_of_failure(spark):
+    class Bad(Indexer):
+        def update(self, log):
+            return log.df
+
+        def complete(self, error):
+            self.error = error
+
+    bad, log = Bad(), Log.from_table(spark.range(1).selectExpr("id", "'x' AS t"), "t", "id")
+
+    def sink(name, df):
+        raise OSError(name)
+
+    with pytest.raises(OSError):
+        log.index_with({"bad": bad}, sink)
+    assert isinstance(bad.error, OSError)
+
+
 def test_reading(spark, tmp_path):
     (tmp_path / "app.log.2").write_bytes(b"old one\nold two\n")
     (tmp_path / "app.log.1").write_bytes(b"new one\r\nnew two")
