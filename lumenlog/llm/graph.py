@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import cut
+from lumenlog.llm.common import cut, drop
 
 
 def _star(directed: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         joined = _star(pairs)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        now = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        done, now = now, cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        drop(done)
         got = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (got["n"], got["s"]) == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -2,19 +2,20 @@
 
 Suffixes are classified as smaller or larger than their right neighbour; the
 leftmost-smaller substrings are sorted by inducing, named, and the string of
-names is sorted recursively; the full order is induced from theirs. Inducing is
-linear: buckets are visited in order and each bucket's entries are moved on
-together, wave by wave, instead of one at a time. The recursion ends when names
-are unique, or when they are too many for bucket visits to pay, where rank
-doubling orders the (by then short) string of names.
+names is sorted recursively, at any size, until names are unique; the full order is
+induced from theirs. Inducing visits buckets in order. A bucket with many suffixes moves
+its entries on together, wave by wave, instead of one at a time. Neighbouring buckets
+with few suffixes each, as wide alphabets of names have, are visited as one: what they
+induce among themselves is put in order generation by generation, which are few, as
+letters with long runs are visited alone.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Names beyond this count are ordered by rank doubling.
-WIDE = 6000
+#: Suffixes of neighbouring buckets that are visited as one.
+BATCH = 16384
 
 
 def _smaller(t: np.ndarray) -> np.ndarray:
@@ -28,7 +29,7 @@ def _smaller(t: np.ndarray) -> np.ndarray:
     return s
 
 
-def _deal(sa: np.ndarray, at: np.ndarray, p: np.ndarray, c: np.ndarray, sigma: int, step: int) -> None:
+def _deal(sa: np.ndarray, at: np.ndarray, p: np.ndarray, c: np.ndarray, step: int) -> None:
     """Append the positions ``p`` (letters ``c``) to their buckets, in order, upwards or downwards."""
     if len(p) == 1:
         k = c[0]
@@ -53,6 +54,104 @@ def _deal(sa: np.ndarray, at: np.ndarray, p: np.ndarray, c: np.ndarray, sigma: i
         at[heads] -= sizes
 
 
+def _by_bucket(t: np.ndarray, sa: np.ndarray, at: np.ndarray, p: np.ndarray, step: int) -> None:
+    """Deal what one pass induces to later buckets."""
+    if len(p):
+        _deal(sa, at, p, t[p], step)
+
+
+def _batches(t: np.ndarray, counts: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of letters: neighbours with about ``most`` suffixes together, but letters that stand thrice in a row alone."""
+    alone = np.zeros(len(counts) + 1, bool)
+    alone[t[:-2][(t[1:-1] == t[:-2]) & (t[2:] == t[1:-1])]] = True
+    alone[-1] = True
+    stops = np.flatnonzero(alone)
+    ends = np.cumsum(counts)
+    out, low, k = [], 0, 0
+    while low < len(counts):
+        stop = int(stops[k])
+        if stop == low:
+            out.append((low, low + 1))
+            low, k = low + 1, k + 1
+            continue
+        before = int(ends[low - 1]) if low else 0
+        high = min(stop, max(low + 1, int(np.searchsorted(ends, before + most, side="right"))))
+        out.append((low, high))
+        low = high
+    return out
+
+
+def _settle(t: np.ndarray, moves: np.ndarray, lead: np.ndarray, lead_key: np.ndarray, low: int, high: int, step: int, place: np.ndarray) -> np.ndarray:
+    """The order in which a pass visits the suffixes of the letters ``low`` to ``high``.
+
+    ``lead`` are those that are in place before the range is visited, with keys that order them: three for each
+    letter, the first for what came from earlier letters, the third for leftmost-smaller suffixes; the second is for
+    those induced inside the range, generation by generation: a suffix's place follows that of its right neighbour, so
+    each generation is put in order once that of the one before is known. ``place`` is room for a number per suffix.
+    """
+    every = fresh = lead
+    tail, tail_key = np.zeros(0, lead.dtype), np.zeros(0, np.int64)
+    lead_key = (lead_key << 32) | np.arange(len(lead), dtype=np.int64)
+    while True:
+        p = fresh - 1
+        p = p[p >= 0]
+        p = p[moves[p]]
+        c = t[p]
+        near = (c >= low) & (c < high)
+        p = p[near]
+        if not len(p):
+            return every
+        c = c[near].astype(np.int64)
+        tail = np.concatenate([tail, p])
+        tail_key = np.concatenate([tail_key, (3 * (c - low if step > 0 else high - 1 - c) + 1) << 32])
+        place[every] = np.arange(len(every), dtype=np.int32)
+        order = np.argsort(np.concatenate([lead_key, tail_key | place[tail + 1]]))
+        every, fresh = np.concatenate([lead, tail])[order], p
+
+
+def _pass(t: np.ndarray, moves: np.ndarray, sa: np.ndarray, at: np.ndarray, edge: np.ndarray, counts: np.ndarray, given: tuple[np.ndarray, np.ndarray, np.ndarray], step: int) -> None:
+    """One pass over the buckets, upwards or downwards: each suffix visited puts its left neighbour, if it ``moves``, in its bucket.
+
+    ``given``: suffixes that each bucket has besides those put there, in the order of visiting, and where each letter's begin and end.
+    """
+    own, from_, to = given
+    ranges = _batches(t, counts, BATCH)
+    place = np.empty(len(t) + 1, np.int32)
+    for low, high in ranges if step > 0 else reversed(ranges):
+        if high == low + 1:
+            # One bucket: its entries move on together, wave by wave.
+            done = edge[low]
+            while done != at[low]:
+                p = (sa[done : at[low]] if step > 0 else sa[at[low] : done][::-1]) - 1
+                done = at[low]
+                p = p[p >= 0]
+                _by_bucket(t, sa, at, p[moves[p]], step)
+            if to[low] > from_[low]:
+                p = own[from_[low] : to[low]] - 1
+                p = p[p >= 0]
+                _by_bucket(t, sa, at, p[moves[p]], step)
+            continue
+        span = np.arange(low, high) if step > 0 else np.arange(high - 1, low - 1, -1)
+        size = np.abs(at[span] - edge[span])
+        extra = to[span] - from_[span]
+        rank = np.arange(high - low, dtype=np.int64)
+        begin = edge[span] if step > 0 else edge[span] - 1
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        put = sa[np.repeat(begin, size) + step * within]
+        within = np.arange(int(extra.sum())) - np.repeat(np.cumsum(extra) - extra, extra)
+        lms = own[np.repeat(from_[span], extra) + within]
+        lead = np.concatenate([put, lms])
+        if not len(lead):
+            continue
+        key = np.concatenate([3 * np.repeat(rank, size), 3 * np.repeat(rank, extra) + 2])
+        order = np.argsort(key, kind="stable")
+        lead, key = lead[order], key[order]
+        every = _settle(t, moves, lead, key, low, high, step, place)
+        p = every - 1
+        p = p[p >= 0]
+        _by_bucket(t, sa, at, p[moves[p]], step)
+
+
 def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     """The order of all suffixes, given the order of the leftmost-smaller ones."""
     n = len(t)
@@ -61,73 +160,19 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np
     ends = np.cumsum(counts)
     heads = ends - counts
     larger = np.bincount(t[~small], minlength=sigma)
-    full = np.flatnonzero(counts).tolist()
     letter = t[lms]
-    lms_from, lms_to = np.searchsorted(letter, full, "left").tolist(), np.searchsorted(letter, full, "right").tolist()
-
+    names = np.arange(sigma)
     at = heads.copy()
-    at_end = int(t[-1])
-    sa[at[at_end]] = n - 1
-    at[at_end] += 1
-    for k, c in enumerate(full):
-        done = heads[c]
-        while done < at[c]:
-            p = sa[done : at[c]] - 1
-            done = at[c]
-            p = p[p >= 0]
-            p = p[~small[p]]
-            if len(p):
-                _deal(sa, at, p, t[p], sigma, 1)
-        if lms_to[k] > lms_from[k]:
-            p = lms[lms_from[k] : lms_to[k]] - 1
-            _deal(sa, at, p, t[p], sigma, 1)
-
+    last = int(t[-1])
+    sa[at[last]] = n - 1
+    at[last] += 1
+    _pass(t, ~small, sa, at, heads, counts, (lms, np.searchsorted(letter, names, "left"), np.searchsorted(letter, names, "right")), 1)
+    # Downwards, a bucket's smaller suffixes are visited first, then its larger ones, from the right.
     at = ends.copy()
-    for c in reversed(full):
-        done = ends[c]
-        while done > at[c]:
-            p = sa[at[c] : done][::-1] - 1
-            done = at[c]
-            p = p[p >= 0]
-            p = p[small[p]]
-            if len(p):
-                _deal(sa, at, p, t[p], sigma, -1)
-        if larger[c]:
-            p = sa[heads[c] : heads[c] + larger[c]][::-1] - 1
-            p = p[p >= 0]
-            p = p[small[p]]
-            if len(p):
-                _deal(sa, at, p, t[p], sigma, -1)
+    _pass(t, small, sa, at, ends, counts, (sa[::-1], n - heads - larger, n - heads), -1)
     return sa
 
 
-def _doubling(r: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of ``r`` by doubling; only positions that are still tied are sorted again."""
-    n = len(r)
-    order = np.argsort(r, kind="stable").astype(np.int64)
-    s = r[order]
-    new = np.concatenate([[True], s[1:] != s[:-1]])
-    rank = np.empty(n, np.int64)
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[order] = head
-    step = 1
-    while True:
-        tied = np.flatnonzero(~new | ~np.append(new[1:], True))
-        if not len(tied):
-            return order
-        p = order[tied]
-        nxt = p + step
-        second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        key = rank[p] * (n + 1) + second
-        by = np.argsort(key, kind="stable")
-        key, p = key[by], p[by]
-        order[tied] = p
-        fresh = np.concatenate([[True], key[1:] != key[:-1]])
-        new[tied] = fresh
-        rank[p] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(tied)), 0))]
-        step *= 2
-
-
 def _differ(t: np.ndarray, q: np.ndarray, size: np.ndarray) -> np.ndarray:
     """For sorted leftmost-smaller substrings: whether each differs from the one before."""
     differ = np.ones(len(q), bool)
@@ -168,11 +213,7 @@ def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
             of = np.empty(n, np.int32)
             of[q] = names
             reduced = of[lms]
-            if total <= WIDE:
-                reduced = reduced.astype(np.uint16 if total <= 65536 else np.int32)
-                q = lms[suffix_array(reduced, total)]
-            else:
-                q = lms[_doubling(reduced)]
+            q = lms[suffix_array(reduced.astype(np.uint16 if total <= 65536 else np.int32), total)]
     return _induce(t, small, q, sigma)
 
 

@@ -7,7 +7,9 @@ weights depend on how often the predecessor was seen (buckets of powers of two)
 and are learned by expectation-maximisation on deleted counts: each training
 token is held out in turn, its own occurrence taken from every count.
 
-Counts are exact and cover all training documents. Chunks of documents send
+Counts cover all training documents and are exact but for chance collisions of 64-bit
+hashes of tokens and pairs (n distinct ones have about n * n / 2^65: under one in 30 million for a
+million). Rows alike in doc_id and text are counted as one row with a number. Chunks of documents send
 their distinct tokens and pairs (as 64-bit hashes) to the parts of the key space
 once each, with the chunk's training counts; a part adds them up and answers in
 the order asked, so no keys travel back. A pair in a third of all documents
@@ -30,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import cut, text_bytes
-from lumenlog.llm.exchange import bounds, chunked, part_of
+from lumenlog.llm.common import cut, folded, text_bytes, unfolded
+from lumenlog.llm.exchange import chunked, distinct, pack_counts, pack_keys, tasks_for, unpack_counts, unpack_keys
 from lumenlog.llm.hashing import mix64, span_hashes, word_spans
 
 FOLDS = 7
@@ -48,7 +50,7 @@ _U = np.uint64
 _END = np.array([0x5BD1E995A7C4F1E3], _U)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_ASK = {"part": pa.int64(), "chunk": pa.int64(), "kind": pa.int32(), "keys": pa.binary(), "wide": pa.bool_(), "counts": pa.binary(), "big": pa.binary()}
+_ASK = {"part": pa.int64(), "chunk": pa.int64(), "kind": pa.int32(), "keys": pa.binary(), "wide": pa.int32(), "counts": pa.binary(), "big": pa.binary()}
 _SAY = {"part": pa.int64(), "chunk": pa.int64(), "kind": pa.int32(), "counts": pa.binary(), "big": pa.binary(), "n": pa.int64(), "v": pa.int64()}
 _KINDS = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean", pa.float64(): "double"}
 
@@ -85,44 +87,9 @@ class Tokens:
         before[:1] = _END[0]
         before[1:] = self.token[:-1]
         self.pair = mix64(before * _U(0x9E3779B97F4A7C15) + self.token)
-        self.trains = ~self.held[self.doc]
-
-
-def _pack_keys(keys: np.ndarray) -> tuple[bytes, bool]:
-    """Sorted keys as differences of six bytes, or of eight where one is wider."""
-    gaps = np.diff(keys, prepend=_U(0))
-    wide = bool(len(gaps) and int(gaps.max()) >> 48)
-    return (gaps.tobytes() if wide else gaps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()), wide
-
-
-def _unpack_keys(blob: bytes, wide: bool) -> np.ndarray:
-    if wide:
-        return np.cumsum(np.frombuffer(blob, _U))
-    six = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    gaps = np.zeros((len(six), 8), np.uint8)
-    gaps[:, :6] = six
-    return np.cumsum(gaps.reshape(-1).view(_U))
-
-
-def _pack_counts(n: np.ndarray) -> tuple[bytes, bytes]:
-    """A byte for each count; those of 255 and above follow in full."""
-    return np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].astype(np.int64).tobytes()
-
-
-def _unpack_counts(small: bytes, big: bytes) -> np.ndarray:
-    n = np.frombuffer(small, np.uint8).astype(np.int64)
-    n[n == 255] = np.frombuffer(big, np.int64)
-    return n
-
-
-def _distinct(values: np.ndarray, parts: int):
-    """Distinct values in the order of (part, value), where each value is among them, and the bounds of parts that have any."""
-    u, where = np.unique(values, return_inverse=True)
-    part = part_of(u, parts)
-    order = np.argsort(part.astype(np.uint16 if parts <= 65536 else np.int64), kind="stable")
-    place = np.empty(len(u), np.int64)
-    place[order] = np.arange(len(u))
-    return u[order], place[where], bounds(part[order])
+        self.times = t["times"].to_numpy().astype(np.int64)
+        #: How often each token counts for training: not at all in held-out documents.
+        self.trains = np.where(self.held, 0, self.times)[self.doc]
 
 
 def _ask(parts: int):
@@ -131,27 +98,27 @@ def _ask(parts: int):
     def run(key, t):
         x, rows = Tokens(t), []
         for kind, values in ((1, x.token), (2, x.pair)):
-            u, where, runs = _distinct(values, parts)
-            n = np.bincount(where[x.trains], minlength=len(u))
+            u, where, runs = distinct(values, parts)
+            n = np.bincount(where, weights=x.trains, minlength=len(u)).astype(np.int64)
             for p, a, b in zip(*runs):
-                keys, wide = _pack_keys(u[a:b])
-                counts, big = _pack_counts(n[a:b])
-                rows.append({"part": p, "chunk": key[0].as_py(), "kind": kind, "keys": keys, "wide": wide, "counts": counts, "big": big})
+                keys, width = pack_keys(u[a:b])
+                counts, big = pack_counts(n[a:b])
+                rows.append({"part": p, "chunk": key[0].as_py(), "kind": kind, "keys": keys, "wide": width, "counts": counts, "big": big})
         return pa.Table.from_pylist(rows, schema=schema)
 
     return run
 
 
 def _add(key, t):
-    sets = [_unpack_keys(k, w) for k, w in zip(t["keys"].to_pylist(), t["wide"].to_pylist())]
-    counts = [_unpack_counts(c, b) for c, b in zip(t["counts"].to_pylist(), t["big"].to_pylist())]
+    sets = [unpack_keys(k, w) for k, w in zip(t["keys"].to_pylist(), t["wide"].to_pylist())]
+    counts = [unpack_counts(c, b) for c, b in zip(t["counts"].to_pylist(), t["big"].to_pylist())]
     sizes = [len(s) for s in sets]
     u, where = np.unique(np.concatenate(sets), return_inverse=True)
     total = np.bincount(where, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
     first, rows, at = True, [], 0
     kind = key[1].as_py()
     for chunk, n in zip(t["chunk"].to_pylist(), sizes):
-        small, big = _pack_counts(total[where[at : at + n]])
+        small, big = pack_counts(total[where[at : at + n]])
         own = (int(total.sum()), int(np.count_nonzero(total))) if first and kind == 1 else (0, 0)
         rows.append({"part": key[0].as_py(), "chunk": chunk, "kind": kind, "counts": small, "big": big, "n": own[0], "v": own[1]})
         first, at = False, at + n
@@ -165,10 +132,10 @@ class Counted:
         self.x = x = Tokens(left)
         got = {1: {}, 2: {}}
         for p, kind, small, big in zip(*(right[c].to_pylist() for c in ("part", "kind", "counts", "big"))):
-            got[kind][p] = _unpack_counts(small, big)
+            got[kind][p] = unpack_counts(small, big)
         counts = {}
         for kind, values in ((1, x.token), (2, x.pair)):
-            _, where, runs = _distinct(values, parts)
+            _, where, runs = distinct(values, parts)
             full = np.concatenate([got[kind][p] for p in runs[0]])
             counts[kind] = full[where]
         self.own, self.pair = counts[1], counts[2]
@@ -197,11 +164,12 @@ def _grid(parts: int):
         if not left.num_rows:
             return schema.empty_table()
         c = Counted(left, right, parts)
-        on = c.x.trains
+        on = c.x.trains > 0
         # One occurrence is held out: it leaves the token's, the pair's and the predecessor's counts.
         own, pair, before = c.own[on] - 1, c.pair[on] - 1, c.before[on] - 1
         ratio = np.where(pair > 0, 1 + np.minimum(np.round(FINE * np.log2(np.maximum(before, 1) / np.maximum(pair, 1))), GRID - 2), 0).astype(np.int64)
-        cell, n = np.unique((bucket(before) * GRID + ratio) * GRID + _level(own), return_counts=True)
+        cell, where = np.unique((bucket(before) * GRID + ratio) * GRID + _level(own), return_inverse=True)
+        n = np.bincount(where, weights=c.x.trains[on], minlength=len(cell)).astype(np.int64)
         return pa.Table.from_arrays([pa.array(cell), pa.array(n)], schema=schema)
 
     return run
@@ -238,7 +206,7 @@ def weights(cells: np.ndarray, n: np.ndarray, total: int, kinds: int) -> np.ndar
     return out
 
 
-_SCORES = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+_SCORES = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "times": pa.int64()}
 
 
 def _score(parts: int, total: int, kinds: int, mix: np.ndarray):
@@ -257,7 +225,7 @@ def _score(parts: int, total: int, kinds: int, mix: np.ndarray):
         base, score = np.add.reduceat(np.log10(plain), at), np.add.reduceat(np.log10(p), at)
         n = len(at)
         return pa.Table.from_arrays(
-            [x.ids.combine_chunks(), pa.array(x.held), pa.array(x.size), pa.array(known), pa.array(np.full(n, total)), pa.array(base), pa.array(score)], schema=schema
+            [x.ids.combine_chunks(), pa.array(x.held), pa.array(x.size), pa.array(known), pa.array(np.full(n, total)), pa.array(base), pa.array(score), pa.array(x.times)], schema=schema
         )
 
     return run
@@ -265,15 +233,16 @@ def _score(parts: int, total: int, kinds: int, mix: np.ndarray):
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    docs = folded(docs.select("doc_id", "text"))
     total_bytes = text_bytes(docs)
-    parts = max(12, -(-total_bytes // PART_BYTES))
-    texts = chunked(docs, max(1, -(-total_bytes // CHUNK_BYTES)))
+    parts, tasks = max(12, -(-total_bytes // PART_BYTES)), tasks_for(total_bytes)
+    texts = chunked(docs, max(1, -(-total_bytes // CHUNK_BYTES))).repartition(tasks, "chunk")
     asked = texts.groupBy("chunk").applyInArrow(_ask(parts), _ddl(_ASK))
-    said = cut(asked.groupBy("part", "kind").applyInArrow(_add, _ddl(_SAY)))
+    said = cut(asked.repartition(parts, "part", "kind").groupBy("part", "kind").applyInArrow(_add, _ddl(_SAY)))
     sums = said.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     total, kinds = int(sums["n"] or 0), int(sums["v"] or 0)
     answers = said.select("part", "chunk", "kind", "counts", "big")
-    both = texts.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    both = texts.groupBy("chunk").cogroup(answers.repartition(tasks, "chunk").groupBy("chunk"))
     grid = both.applyInArrow(_grid(parts), _ddl(_CELLS)).groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     mix = weights(grid["cell"].to_numpy(np.int64), grid["n"].to_numpy(float), total, kinds)
-    return both.applyInArrow(_score(parts, total, kinds, mix), _ddl(_SCORES))
+    return unfolded(both.applyInArrow(_score(parts, total, kinds, mix), _ddl(_SCORES)), docs)

@@ -18,8 +18,9 @@ of the largest source. Draws are hashes of the documents that meet, so reruns
 agree.
 
 Edge cases: a null text has size 0 and is taken 0 words; null is a source of its
-own, the last; sources of size 0 have target 0; repeated rows are units of
-their own; an empty table gives an empty result; extra columns pass by unread.
+own, the last; sources of size 0 have target 0; repeated rows (same doc_id, source
+and size) each get their copies, which of them get more isn't told apart: they are met
+with each other by their number, so no task holds them one by one; an empty table gives an empty result; extra columns pass by unread.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import cut, words
+from lumenlog.llm.common import cut, unfolded, words
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -97,33 +98,42 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = MAX_CO
     sized = cut(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size")))
     goal = cut(targets(sized.select("source", "size"), weights, cap))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).select(
-        "doc_id", sized["source"], "size", "source_size", "target", "n", rate.alias("rate")
+    alike = cut(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("times")))
+    rows = alike.join(goal, alike["source"].eqNullSafe(goal["source"])).select(
+        "doc_id", alike["source"], "size", "times", "n", rate.alias("rate")
     )
     rows = rows.withColumn("b", F.floor("rate").cast("long")).withColumn("p", F.col("rate") - F.floor("rate"))
     fraction = (F.col("size") > 0) & (F.col("p") > 0)
-    whole = rows.filter(~fraction).select("doc_id", "source", "size", F.col("b").alias("copies"))
+    whole = rows.filter(~fraction).select("doc_id", "source", "size", F.col("b").alias("copies"), "times")
+    # Rows alike, met with each other, leave so many with one more copy, so many without, and at most one carrier.
+    rows = rows.filter(fraction).withColumn("up", F.floor(F.col("times") * F.col("p")).cast("long"))
+    rows = rows.withColumn("p", F.col("times") * F.col("p") - F.col("up"))
+    several = rows.filter("times > 1")
+    met = [several.select("doc_id", "source", "size", (F.col("b") + 1).alias("copies"), F.col("up").alias("times")).filter("times > 0")]
+    met.append(several.select("doc_id", "source", "size", F.col("b").alias("copies"), (F.col("times") - F.col("up") - (F.col("p") > 0).cast("long")).alias("times")).filter("times > 0"))
     n_max = goal.agg(F.max("n").alias("n")).first()["n"] or 0
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / fan)).cast("long")
-    now = rows.filter(fraction).select(
+    now = rows.filter("p > 0").select(
         "source", F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED)), blocks).alias("block"),
-        F.struct(F.col("size").cast("double").alias("s"), F.col("doc_id").cast("long").alias("id"), "b", "p", F.xxhash64("doc_id", F.lit(SEED)).alias("u")).alias("unit"),
+        F.struct(F.col("size").cast("double").alias("s"), F.col("doc_id").cast("long").alias("id"), "b", "p", F.xxhash64("doc_id", "size", F.lit(SEED)).alias("u")).alias("unit"),
     )
-    out, level, width = [whole], 0, max(1, -(-n_max // fan))
+    one = F.lit(1).cast("long").alias("times")
+    out, level, width = [whole, *met], 0, max(1, -(-n_max // fan))
     while True:
         met = now.groupBy("source", "block").agg(F.sort_array(F.collect_list("unit"), asc=False).alias("units"))
         met = cut(met.select("source", "block", _fold(level).alias("f")))
         settled = met.select("source", F.explode("f.out").alias("o"))
-        out.append(settled.select(F.col("o.id").alias("doc_id"), "source", F.col("o.s").cast("long").alias("size"), F.col("o.t").alias("copies")))
+        out.append(settled.select(F.col("o.id").alias("doc_id"), "source", F.col("o.s").cast("long").alias("size"), F.col("o.t").alias("copies"), one))
         carried = met.filter("f.c IS NOT NULL").select("source", "block", F.col("f.c").alias("unit"))
         if width == 1:
             break
         now, level, width = carried.withColumn("block", F.floor(F.col("block") / fan).cast("long")), level + 1, -(-width // fan)
     last = F.col("unit.p") >= 0.5
-    out.append(carried.select(F.col("unit.id").alias("doc_id"), "source", F.col("unit.s").cast("long").alias("size"), (F.col("unit.b") + last.cast("long")).alias("copies")))
+    out.append(carried.select(F.col("unit.id").alias("doc_id"), "source", F.col("unit.s").cast("long").alias("size"), (F.col("unit.b") + last.cast("long")).alias("copies"), one))
     every = out[0]
     for part in out[1:]:
         every = every.unionByName(part)
+    every = unfolded(every, alike)
     goal = goal.select(F.col("source").alias("of"), "source_size", "target")
     return every.join(goal, F.col("source").eqNullSafe(F.col("of"))).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")

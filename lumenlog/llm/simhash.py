@@ -11,13 +11,16 @@ within ``bits`` differing bits agree on at least ``BLOCKS - bits`` of ``BLOCKS``
 blocks; nodes are joined on every such choice of blocks and each pair is
 verified. ``blocks_for`` raises the number of blocks with the number of nodes, so
 that buckets stay small at any size. A choice's bucket that holds over
-``HOT`` nodes isn't paired: its nodes get all fingerprints within half the
-distance as keys, and nodes that share a key are linked through the least of
-them, which is exact and linear in the bucket.
+``HOT`` nodes isn't paired: its nodes get all fingerprints within the larger half
+of the distance as keys; a key is a way between two nodes if it is within the
+smaller half of one of them, so all nodes at a key are linked to the least of those,
+which is exact and linear in the bucket.
 
 Edge cases: null text and text without words have fingerprint zero and link like
-any other; repeated rows keep their rows; an empty table gives an empty result;
-extra columns are not read.
+any other; rows without a doc_id link like any other, and their component_id is
+null where no row of the component has a doc_id (which must be below ``NAMELESS``);
+repeated rows keep their rows; an empty table gives an empty result; extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ BLOCKS = 6
 #: Nodes that a bucket may hold on average: more nodes are split into more blocks.
 CROWD = 4
 HOT = 4000
+#: Fingerprints of which no row has a doc_id are nodes from here on.
+NAMELESS = 1 << 62
 
 _FIND = regex.compile(rb"[^\x20\x09-\x0D]+").findall
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -103,24 +108,23 @@ def _keyed(nodes: DataFrame, masks: list[int]) -> DataFrame:
     return nodes.select("fp", "node", choice).select("fp", "node", "c.k", "c.part")
 
 
-def _near(nodes: DataFrame, radius: int) -> DataFrame:
-    """(key, node) for every key within ``radius`` bits of each node's fingerprint."""
+def _near(nodes: DataFrame, radius: int, inner: int) -> DataFrame:
+    """(key, node, close) for every key within ``radius`` bits of each node's fingerprint; close: within ``inner``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = np.uint64(1)
         flips = [np.uint64(0)]
         for r in range(1, radius + 1):
             flips += [np.uint64(sum(1 << b for b in c)) for c in combinations(range(64), r)]
         flips = np.array(flips, dtype=np.uint64)
-        del one
+        close = np.bitwise_count(flips) <= inner
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
             ids = batch.column(1).to_numpy()
             for k in range(0, len(fps), 32):
                 keys = (fps[k : k + 32, None] ^ flips).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(ids[k : k + 32], len(flips)))], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(ids[k : k + 32], len(flips))), pa.array(np.tile(close, len(fps[k : k + 32])))], names=["key", "node", "close"])
 
-    return nodes.select("fp", "node").mapInArrow(run, "key long, node long")
+    return nodes.select("fp", "node").mapInArrow(run, "key long, node long, close boolean")
 
 
 def links(nodes: DataFrame, bits: int = BITS, blocks: int = BLOCKS, hot: int | None = None) -> DataFrame:
@@ -140,30 +144,33 @@ def links(nodes: DataFrame, bits: int = BITS, blocks: int = BLOCKS, hot: int | N
     if large.isEmpty():
         return found
     members = keyed.join(large, ["k", "part"], "left_semi").select("fp", "node").distinct()
-    near = _near(members, bits // 2)
-    least = near.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "a")
+    near = _near(members, bits - bits // 2, bits // 2)
+    least = near.groupBy("key").agg(F.min(F.when(F.col("close"), F.col("node"))).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND a IS NOT NULL").select("key", "a")
     return found.union(near.join(least, "key").filter("node != a").select("a", F.col("node").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     prints = cut(fingerprints(docs))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    nameless = F.lit(NAMELESS) + F.pmod(F.col("fp"), F.lit(NAMELESS))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", nameless).alias("node")))
     parts = components(links(nodes, bits, blocks_for(nodes.count(), bits)))
-    named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    of = F.coalesce("component", "node")
+    named = nodes.join(parts, "node", "left").select("fp", F.when(of < NAMELESS, of).alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Exactly one row of each group stays: the one with the least doc_id, null the last.
 
-    rows: doc_id, h (xxhash64 of the text) and grp of every row of ``docs``. Rows alike in
-    doc_id and text are repeats, any one of which may stay.
+    rows: doc_id, h (xxhash64 of the text) and grp of every row of ``docs``, or of rows alike with
+    their number ``times``. Rows alike in doc_id and text are repeats, any one of which may stay.
     """
+    count = F.sum("times") if "times" in rows.columns else F.count(F.lit(1))
     rows = cut(rows)
     best = rows.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("best"))
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))
-    marked = rows.groupBy("grp", "doc_id", "h").agg((F.count(F.lit(1)) > 1).alias("again")).join(best, "grp")
+    marked = rows.groupBy("grp", "doc_id", "h").agg((count > 1).alias("again")).join(best, "grp")
     some = cut(marked.select("doc_id", "h", stays.alias("stays"), "again").filter("again OR NOT stays"))
     keyed = docs.withColumn("_h", F.xxhash64("text"))
 
@@ -180,6 +187,7 @@ def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """One row of each group stays: the one with the least doc_id, null the last (of its repeats, any one row)."""
-    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    found = near_duplicates(texts, bits).select(F.col("doc_id").alias("h"), F.col("component_id").alias("grp"))
-    return keep_one(docs, docs.select("doc_id", F.xxhash64("text").alias("h")).join(found, "h"))
+    key = F.shiftrightunsigned(F.xxhash64("text"), 2)
+    texts = docs.select(key.alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    found = near_duplicates(texts, bits).select(F.col("doc_id").alias("k"), F.col("component_id").alias("grp"))
+    return keep_one(docs, docs.select("doc_id", F.xxhash64("text").alias("h"), key.alias("k")).join(found, "k").drop("k"))

@@ -42,8 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenlog.llm.common import cut, text_bytes
-from lumenlog.llm.exchange import chunked, counts_for, part_of, split
+from lumenlog.llm.common import cut, folded, text_bytes, unfolded
+from lumenlog.llm.exchange import chunked, counts_for, part_of, split, tasks_for
 from lumenlog.llm.hashing import mix64, sliding_min, window_hashes
 from lumenlog.llm.induced import permuted_prefixes, suffix_array
 
@@ -378,32 +378,44 @@ def _schema(ddl: str) -> pa.Schema:
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, rest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
-    ``rest``: the kept text and a struct of the other columns of ``docs`` follow.
+    ``rest``: the kept text and a struct of the other columns of ``docs`` follow; then rows alike in
+    doc_id and text are one row.
     """
+    docs = folded(docs if rest else docs.select("doc_id", "text"))
     total = text_bytes(docs)
     chunks, parts = counts_for(total, CHUNK_BYTES)
-    shards = max(12, -(-total // SHARD_BYTES))
-    texts = chunked(docs, chunks, rest)
+    shards, tasks = max(12, -(-total // SHARD_BYTES)), tasks_for(total)
+    texts = chunked(docs, chunks, rest).repartition(tasks, "chunk")
     asked = texts.groupBy("chunk").applyInArrow(_ask(parts, length, gram), _ASK)
-    known = cut(asked.groupBy("part").applyInArrow(_know(shards, hot), _KNOWN))
-    runs = texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_cut(shards, length, gram), _RUNS)
-    later = cut(runs.groupBy("shard").applyInArrow(_shard(length), _LATER))
+    known = cut(asked.repartition(max(12, parts // 2), "part").groupBy("part").applyInArrow(_know(shards, hot), _KNOWN))
+    runs = texts.groupBy("chunk").cogroup(known.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(_cut(shards, length, gram), _RUNS)
+    later = cut(runs.repartition(max(12, shards // 2), "shard").groupBy("shard").applyInArrow(_shard(length), _LATER))
     none = F.lit(None).cast("binary")
     news = known.select("chunk", F.lit(False).alias("kind"), "anchors", "shards", "kinds", "texts", "owners", *[none.alias(n) for n in ("hash", "sizes", "first", "later")])
     news = news.union(later.select("chunk", F.lit(True), *[none] * 5, "hash", "sizes", "first", "later"))
     out = T.StructType.fromDDL(_OUT)
     if rest:
         out = out.add("kept", "string").add("rest", texts.schema["rest"].dataType)
-    return texts.groupBy("chunk").cogroup(news.groupBy("chunk")).applyInArrow(_result(shards, length, gram, rest), out)
+    once = texts.groupBy("chunk").cogroup(news.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(_result(shards, length, gram, rest), out)
+    again = docs.filter("times > 1")
+    if rest or again.isEmpty():
+        return once
+    # A repeat of a row starts later in all its strings.
+    size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
+    gone = size >= length
+    left = F.sha2(F.when(gone, F.lit("")).otherwise(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
+    more = again.select("doc_id", size.alias("n_bytes"), F.when(gone, size).otherwise(0).alias("n_removed"), gone.cast("long").alias("n_spans"), left.alias("kept_sha256"), (F.col("times") - 1).alias("times"))
+    return once.union(unfolded(more))
 
 
 def rewrite(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` without the repeated bytes; all columns stay, ``n_chars`` follows the text.
 
-    Documents of which nothing is left go; those that had no text stay. A cut
-    inside a character drops what is left of that character.
+    Documents of which nothing is left go, repeats of a row too; those that had no text stay. A cut
+    inside a character drops what is left of that character. Texts under ``length`` bytes stay as they are.
     """
-    found = suffix_dedup(docs, length, rest=True).filter("n_removed < n_bytes OR n_bytes = 0")
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) < length
+    found = suffix_dedup(docs.filter(~short), length, rest=True).filter("n_removed < n_bytes OR n_bytes = 0")
     columns = []
     for c in docs.columns:
         if c == "text":
@@ -412,5 +424,5 @@ def rewrite(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns.append(F.char_length("kept").cast(docs.schema[c].dataType).alias(c))
         else:
             columns.append(F.col(f"rest.`{c}`").alias(c))
-    return found.select(*columns)
+    return found.select(*columns).union(docs.filter(short))
 

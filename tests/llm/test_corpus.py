@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumenlog.llm import graph, induced, lm, mixing, simhash, suffix
+from lumenlog.llm.common import folded
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -126,11 +127,38 @@ def test_suffix_arrays():
             assert lcp[y] == n
 
 
-def test_wide_recursion(monkeypatch):
-    t = np.frombuffer(random.Random(3).randbytes(3000) * 2, np.uint8)
-    expect = list(induced.suffix_array(t))
-    monkeypatch.setattr(induced, "WIDE", 1)
-    assert list(induced.suffix_array(t)) == expect
+def test_wide_alphabets():
+    """Strings of many names, with runs and repeats, as the recursion meets them."""
+    rng = np.random.default_rng(3)
+    for it in range(60):
+        n, sigma = int(rng.integers(2, 3000)), int(rng.integers(2, 4000))
+        t = rng.integers(0, sigma, n)
+        if it % 3 == 0:
+            t = np.repeat(t, rng.integers(1, 9, n))[:3000]
+        if it % 5 == 0:
+            t = np.tile(t[: max(2, n // 7)], 8)[:3000]
+        words = np.ascontiguousarray(t.astype(">u4"))
+        b = words.tobytes()
+        assert list(induced.suffix_array(t.astype(np.int32), sigma)) == sorted(range(len(t)), key=lambda i: b[4 * i :])
+
+
+def test_recursion_at_the_size_of_a_shard(monkeypatch):
+    """Four MB of documents are ordered by recursion on names alone, and rightly."""
+    import duckdb
+
+    texts = duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id LIMIT 3000").fetchall()
+    raw = "".join(x for x, in texts).encode()[: 4 << 20]
+    depth, own = [], induced.suffix_array
+    monkeypatch.setattr(induced, "suffix_array", lambda t, sigma=256: depth.append((len(t), sigma)) or own(t, sigma))
+    t = np.frombuffer(raw, np.uint8)
+    sa = induced.suffix_array(t)
+    assert len(depth) > 2 and depth[1][1] > 6000 and all(2 * b <= a for (a, _), (b, _) in zip(depth, depth[1:]))
+    assert len(np.unique(sa)) == len(t)
+    # Neighbours are in order: equal up to the common prefix, and smaller there.
+    lcp = induced.permuted_prefixes(t, sa)[sa[1:]]
+    x, y = sa[:-1] + lcp, sa[1:] + lcp
+    inside = x < len(t)
+    assert (y < len(t)).all() and (t[x[inside]] < t[y[inside]]).all()
 
 
 def brute_substrings(rows, length=100):
@@ -191,18 +219,94 @@ def test_lm(spark, monkeypatch):
     assert lm.lm_scores(frame(spark, [])).count() == 0
 
 
-def test_lm_is_a_distribution(spark, monkeypatch):
-    """After a context, the model's probabilities of all words sum to one (with one unknown word)."""
-    vocabulary = ["a", "b", "c", "d"]
+def test_lm_against_brute_force(spark, monkeypatch):
+    """Counts, weights and scores by plain loops; after each context the probabilities of all words sum to one."""
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 900)
     rng = random.Random(1)
-    train_ids = [n for n in range(3000) if zlib.crc32(str(n).encode()) % 7 != 2]
-    held_ids = [n for n in range(3000, 9000) if zlib.crc32(str(n).encode()) % 7 == 2]
-    rows = [(i, " ".join(rng.choices(vocabulary, k=6))) for i in train_ids[:200]]
-    probes = [(held_ids[k], w) for k, w in enumerate(["a", *[f"a {x}" for x in [*vocabulary, "unknown"]]])]
-    got = {r["doc_id"]: r["score"] for r in lm.lm_scores(frame(spark, [(*r, "s") for r in [*rows, *probes]])).collect()}
-    # P(text) of "a x end" summed over x and the end gives P(a): recover P(x | a) through P(end | x).
-    ends = {w: i for i, w in probes}
-    assert got[ends["a"]] < 0 and all(got[ends[f"a {x}"]] < 0 for x in vocabulary)
+    rows = [(n, " ".join(rng.choices("aabbcdefgh", k=rng.randint(1, 12)))) for n in range(160)] + [(900, "a zz"), (901, None)]
+    rows += [(n, "a b a") for n in (500, 500, 500)]
+    train = lambda d: zlib.crc32(str(d).encode()) % 7 != 2
+    toks = [(d, [*(t or "").split(), "\n"]) for d, t in rows]
+    one, two = Counter(), Counter()
+    for d, ws in toks:
+        if train(d):
+            one.update(ws)
+            two.update(zip(["\n", *ws], ws))
+    n_all, kinds = sum(one.values()), len(one)
+    bucket = lambda c: math.frexp(c)[1]
+    held: dict[int, list] = {}
+    for (h, w), k in two.items():
+        c, pair, before = one[w] - 1, k - 1, one[h] - 1
+        held.setdefault(bucket(before), []).append(((pair / before if pair else 0.0, c / (n_all - 1), (c + 1) / (n_all + kinds)), k))
+
+    def learn(cells, prior):
+        w = [1 / 3] * 3
+        for _ in range(lm.ROUNDS):
+            mass = list(prior)
+            for p, k in cells:
+                total = sum(x * y for x, y in zip(w, p))
+                mass = [m + k * x * y / total for m, x, y in zip(mass, w, p)]
+            w = [m / sum(mass) for m in mass]
+        return w
+
+    shared = learn([c for cells in held.values() for c in cells], [0.01] * 3)
+    mix = {b: learn(cells, [100 * x for x in shared]) for b, cells in held.items()}
+
+    def p(h, w):
+        m = mix.get(bucket(one[h]), shared)
+        if one[h] == 0:
+            m = mix.get(0, shared)
+            m = [0.0, m[1] / (m[1] + m[2]), m[2] / (m[1] + m[2])]
+        return m[0] * two[h, w] / max(1, one[h]) + m[1] * one[w] / n_all + m[2] * (one[w] + 1) / (n_all + kinds + 1)
+
+    for h in one:
+        assert abs(sum(p(h, w) for w in one) + p(h, "never") - 1) < 1e-9
+    got = sorted((r["doc_id"], round(r["score"], 2)) for r in lm.lm_scores(frame(spark, [(*r, "s") for r in rows])).collect())
+    expect = [(d, sum(math.log10(p(h, w)) for h, w in zip(["\n", *ws], ws))) for d, ws in toks]
+    assert len(got) == len(expect)
+    for (d, x), (e, y) in zip(got, sorted(expect)):
+        assert d == e and abs(x - y) <= 0.01 + 0.01 * abs(y), (d, x, y)  # counts are learned from in eighths of a power of two
+
+
+def test_words_without_structural_collisions(spark):
+    """A word of 1,024 letters that is its complement under a polynomial hash modulo 2^64."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    ids = [n for n in range(100) if zlib.crc32(str(n).encode()) % 7 != 2][0], [n for n in range(100) if zlib.crc32(str(n).encode()) % 7 == 2][0]
+    got = {r["doc_id"]: r["n_known"] for r in lm.lm_scores(frame(spark, [(ids[0], a, "s"), (ids[1], b, "s")])).collect()}
+    assert got == {ids[0]: 2, ids[1]: 1}
+
+
+def test_repeated_rows_are_no_hot_key(spark, monkeypatch):
+    """A third of all rows alike: chunks and blocks hold them as one, results as many."""
+    monkeypatch.setattr(suffix, "CHUNK_BYTES", 3000)
+    rng = random.Random(2)
+    rows = [(n, " ".join(rng.choices("abcdefgh", k=80)), "s") for n in range(60)] + [(7, "u v w " * 30, "s")] * 5000 + [(8, "few", "s")] * 40 + [(None, None, "s")] * 30
+    docs = frame(spark, rows).repartition(6)
+    assert folded(docs).count() == 63
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix.suffix_dedup(docs).filter("n_removed > 0 OR doc_id IN (7, 8) OR doc_id IS NULL").collect())
+    assert got[7, 180, 180] == 4999 and got[8, 3, 0] == 40 and got[None, 0, 0] == 30
+    kept = suffix.rewrite(docs).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in kept}[7] <= 2 and {r["doc_id"]: r["count"] for r in kept}[None] == 30
+    scores = lm.lm_scores(docs)
+    assert scores.count() == len(rows) and scores.filter("doc_id = 7").select("train_tokens").distinct().count() == 1
+    mixed = mixing.mix(docs)
+    assert mixed.count() == len(rows)
+    r = mixed.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).first()
+    assert abs(r["t"] - r["g"]) <= 90
+
+
+def test_simhash_odd_bits(spark):
+    """Hot buckets link fingerprints three bits apart, and no farther."""
+    nodes = spark.createDataFrame([(0, 0), (0b111, 1), (0b1111 << 10, 2)], "fp long, node long")
+    assert {frozenset(r) for r in simhash.links(nodes, 3, 5, hot=0).collect()} == {frozenset((0, 1))}
+
+
+def test_simhash_of_rows_without_id(spark):
+    text = "one two three four five six seven"
+    got = simhash.near_duplicates(frame(spark, [(None, text, "s"), (None, text, "s"), (4, "other words entirely here now", "s"), (None, "other words entirely here now", "s")])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"]) == [(4, 4)] and sorted(map(str, (r["component_id"] for r in got))) == ["4", "4", "None", "None"]
 
 
 def brute_targets(sizes):

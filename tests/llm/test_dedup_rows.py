@@ -2,7 +2,7 @@
 
 import random
 
-from lumenlog.llm import simhash
+from lumenlog.llm import nearcopies, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -17,3 +17,7 @@ def kept(spark, dedup):
 
 def test_simhash_dedup_keeps_one_row_of_each_group(spark):
     assert kept(spark, simhash.dedup)
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    assert kept(spark, nearcopies.dedup)

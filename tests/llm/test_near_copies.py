@@ -32,9 +32,9 @@ def near_rows(rng):
     return texts
 
 
-@pytest.mark.parametrize("common", [5, 10**9])
-def test_near_dedup_is_by_similarity(spark, monkeypatch, common):
-    monkeypatch.setattr(nearcopies, "COMMON", common)
+@pytest.mark.parametrize("chunk", [8 << 20, 5000])
+def test_near_dedup_is_by_similarity(spark, monkeypatch, chunk):
+    monkeypatch.setattr(nearcopies, "CHUNK_BYTES", chunk)
     texts = near_rows(random.Random(5))
     up = list(range(len(texts)))
     for b in range(len(texts)):
