@@ -28,7 +28,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -171,5 +171,23 @@ def digests(events: DataFrame) -> DataFrame:
 
 
 def as_events(turns: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as a log: each row is one finished message."""
-    return turns.select("conv_id", F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.col("turn").cast("string").alias("msg"), "role", "text")
+    """Rows (conv_id, turn, role, text) as the log by which a chat comes about: each turn in four events or five.
+
+    A turn opens empty and gets its text in two deltas. Before that, an assistant's turn holds a draft
+    that is regenerated; another's text is spoilt by a delta at the end and put right by an edit.
+    Each row is a message of its own, repeated rows and rows of one turn too; rows without a turn come first.
+    """
+    text, half = F.coalesce(F.col("text"), F.lit("")), F.floor(F.char_length(F.coalesce(F.col("text"), F.lit(""))) / 2).cast("int")
+    first, rest = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.char_length(text))
+
+    def event(n: int, kind: str, said: Column) -> Column:
+        return F.struct(F.lit(n).alias("n"), F.lit(kind).alias("kind"), said.alias("text"))
+
+    none = F.lit("")
+    made = F.when(F.col("role") == "assistant", F.array(event(0, "message", none), event(1, "delta", F.lit("draft")), event(2, "regenerate", none), event(3, "delta", first), event(4, "delta", rest)))
+    made = made.otherwise(F.array(event(0, "message", none), event(1, "delta", first), event(2, "delta", F.lit("typo")), event(3, "edit", text)))
+    start = F.coalesce(F.col("turn").cast("long") * 8, F.lit(-(1 << 62)))
+    # The number of a row only ties its events together: all come from one row in one task, and order is by seq.
+    rows = turns.select("conv_id", start.alias("start"), "role", "text", F.monotonically_increasing_id().cast("string").alias("msg"))
+    each = rows.select("conv_id", "start", "msg", "role", F.explode(made).alias("e"))
+    return each.select("conv_id", (F.col("start") + F.col("e.n")).alias("seq"), F.col("e.kind").alias("kind"), "msg", "role", F.col("e.text").alias("text"))

@@ -12,19 +12,22 @@ bit-parallel distance.
 
 Test items are few against the corpus, yet their number isn't taken for
 granted: they are matched ``BATCH`` at a time, so the automaton that is sent to
-executors is bounded. Documents are never shuffled and whole texts are read.
+executors is bounded, at the price of one scan of the documents per batch. Documents are never shuffled and
+whole texts are read.
 
 Edge cases: null and empty texts match nothing; null items and items without a
 word are not searched for; items with fewer than ``SHORTEST`` characters are
 matched together with the blanks around them, so that they stand at word
 boundaries, by as many edits as their own characters allow; repeated documents
 each have their rows, repeated items (same id and text) one; an empty table on
-either side gives no rows; extra columns pass through ``decontaminate``.
+either side gives no rows; a null doc_id or item_id is reported as null; very long texts are searched
+whole, in time linear in their length; extra columns pass through ``decontaminate``.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -75,6 +78,20 @@ def least_distance(peq: dict[str, int], m: int, text: str) -> int:
     return best
 
 
+#: Matchers that this worker has built, the last ones, by the token of their items.
+_BUILT: dict[tuple[str, float], Matcher] = {}
+
+
+def _matcher(shared, rate: float) -> Matcher:
+    """The matcher of broadcast items (token, items), built once per worker."""
+    token, items = shared.value
+    if (token, rate) not in _BUILT:
+        while len(_BUILT) >= 4:
+            del _BUILT[next(iter(_BUILT))]
+        _BUILT[token, rate] = Matcher(items, rate)
+    return _BUILT[token, rate]
+
+
 class Matcher:
     """Finds items, given as (id, text) pairs, in texts."""
 
@@ -170,10 +187,10 @@ def contamination(docs: DataFrame, items: DataFrame, rate: float = RATE, batch:
     schema = "doc_id long, item_id long, distance long, item_chars long"
     out = docs.sparkSession.createDataFrame([], schema)
     for some in _batches(items, batch):
-        shared = docs.sparkSession.sparkContext.broadcast(some)
+        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, some))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m = Matcher(shared.value, rate)
+            m = _matcher(shared, rate)
             for b in batches:
                 rows = [(d, *f) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for f in m.matches(t.as_py())]
                 yield pa.RecordBatch.from_arrays(
@@ -187,11 +204,11 @@ def contamination(docs: DataFrame, items: DataFrame, rate: float = RATE, batch:
 def decontaminate(docs: DataFrame, items: DataFrame, rate: float = RATE, batch: int = BATCH) -> DataFrame:
     """The rows of ``docs`` in which no item is found."""
     for some in _batches(items, batch):
-        shared = docs.sparkSession.sparkContext.broadcast(some)
+        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, some))
         at = docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
-            m = Matcher(shared.value, rate)
+            m = _matcher(shared, rate)
             for b in batches:
                 yield b.filter(pa.array([not m.matches(t.as_py()) for t in b.column(at)], pa.bool_()))
 

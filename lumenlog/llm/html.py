@@ -11,7 +11,7 @@ footers, sidebars, notices, adverts, forms and comments around articles.
 The model is small and fixed; each page is read once, whole, without a shuffle.
 
 Edge cases: null and empty html give an empty text; unclosed, misnested and
-unknown tags are taken as they come; script, style, title and other hidden
+unknown tags are taken as they come, at any depth; script, style, title and other hidden
 content never make blocks; pages without a main block have an empty text;
 repeated rows each have their row; extra columns are not read.
 """
@@ -48,13 +48,65 @@ _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+# Names that pages give to their parts.
+MAIN_NAMES = "article content main post entry story body text page primary single".split()
+PART_NAMES = {
+    "menu": "menu nav navbar navigation breadcrumb breadcrumbs topbar tabs pager pagination toc".split(),
+    "header": "header masthead banner branding logo hero toolbar search".split(),
+    "footer": "footer colophon copyright legal credits bottom".split(),
+    "sidebar": "sidebar aside widget related recommended popular trending secondary rail tags archive".split(),
+    "notice": "notice cookie cookies consent alert gdpr popup modal overlay message warning newsletter subscribe".split(),
+    "advert": "ad ads advert advertisement adsense sponsor sponsored promo promotion promoted commercial".split(),
+    "form": "form login signup search contact feedback".split(),
+    "comments": "comment comments reply replies discussion respond thread disqus".split(),
+    "share": "share social sharing follow meta byline author".split(),
+}
+_MAINS, _PARTS = frozenset(MAIN_NAMES), frozenset(x for names in PART_NAMES.values() for x in names)
+
+
+class Node:
+    """An open element: linked to the one around it, so that blocks share what is around them."""
+
+    __slots__ = ("parent", "tag", "parts", "label", "own", "block_at", "depth", "named", "kind", "marked", "fresh", "closed", "veils", "total")
+
+    def __init__(self, parent: Node | None, tag: str, parts: tuple[str, ...], label: str | None, at: int):
+        self.parent, self.tag, self.parts = parent, tag, parts
+        block = tag in BLOCK_TAGS
+        #: The nearest block-level tag, and where on the stack it stands.
+        self.own = tag if block else parent.own if parent else ""
+        self.block_at = at if block else parent.block_at if parent else -1
+        self.label = label if label is not None else parent.label if parent else None
+        self.depth = parent.depth + 1 if parent else 1
+        self.named = bool(parts) or (parent.named if parent else False)
+        #: What the nearest named element is called like: main text, another part, or neither.
+        self.kind = ("part" if _PARTS & {*parts} else "main" if _MAINS & {*parts} else "other") if parts else parent.kind if parent else ""
+        self.marked = tag in ("article", "main") or (parent.marked if parent else False)
+        #: Features that no element around it has.
+        self.fresh: list[str] = []
+        self.closed = False
+        self.veils = 0
+        self.total: float | None = None
+
+
 class Block:
-    __slots__ = ("raw", "linked", "tags", "names", "label")
+    __slots__ = ("raw", "linked", "node")
 
-    def __init__(self, tags: tuple[str, ...], names: tuple[str, ...], label: str | None):
+    def __init__(self, node: Node | None):
         self.raw: list[str] = []
         self.linked = 0
-        self.tags, self.names, self.label = tags, names, label
+        self.node = node
+
+    @property
+    def own(self) -> str:
+        return self.node.own if self.node else ""
+
+    @property
+    def marked(self) -> bool:
+        return self.node.marked if self.node else False
+
+    @property
+    def label(self) -> str | None:
+        return self.node.label if self.node else None
 
     def text(self) -> str:
         return " ".join(entities.unescape("".join(self.raw)).split())
@@ -78,12 +130,74 @@ def _names(attributes: str) -> tuple[tuple[str, ...], bool, str | None]:
     return tuple(parts), hidden, label
 
 
+class _Stack:
+    """The open elements, with counts that answer every question about them at once."""
+
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.places: dict[str, list[int]] = {}  # of each tag's open elements
+        self.features: dict[str, int] = {}
+        self.hidden = self.links = 0
+
+    @property
+    def top(self) -> Node | None:
+        return self.nodes[-1] if self.nodes else None
+
+    def push(self, tag: str, parts: tuple[str, ...], veiled: bool, label: str | None) -> None:
+        node = Node(self.top, tag, parts, label, len(self.nodes))
+        for f in _own_features(node):
+            n = self.features.get(f, 0)
+            self.features[f] = n + 1
+            if not n:
+                node.fresh.append(f)
+        node.veils = (tag in HIDDEN_TAGS) + veiled
+        self.hidden += node.veils
+        self.links += tag == "a"
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def _close(self, node: Node) -> None:
+        if not node.closed:
+            node.closed = True
+            self.hidden -= node.veils
+            self.links -= node.tag == "a"
+            self.places[node.tag].pop()
+
+    def cut(self, depth: int) -> None:
+        """Close all elements from ``depth`` on."""
+        while len(self.nodes) > depth:
+            node = self.nodes.pop()
+            for f in _own_features(node):
+                self.features[f] -= 1
+            self._close(node)
+
+    def end(self, tag: str) -> None:
+        """An end tag: closes its element and what is in it; an inline one leaves the blocks in it open."""
+        places = self.places.get(tag)
+        if not places:
+            return
+        depth = places[-1]
+        if tag in BLOCK_TAGS or self.nodes[-1].block_at <= depth:
+            self.cut(depth)
+        else:
+            self._close(self.nodes[depth])  # it stays on the stack until what is in it goes
+
+    def shut(self, tags: tuple[str, ...]) -> None:
+        """Close the nearest block while it is one of ``tags``."""
+        while self.nodes and self.nodes[-1].block_at >= 0 and self.nodes[-1].own in tags:
+            self.cut(self.nodes[-1].block_at)
+
+
+def _own_features(node: Node) -> list[str]:
+    mine = [f"in={node.tag}"] if node.tag in BLOCK_TAGS else []
+    return mine + [f"name={x}" for x in dict.fromkeys(node.parts)]
+
+
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page that have text, in page order."""
+    """The leaf blocks of a page that have text, in page order; time is linear in the page, however deep its tags."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], str | None]] = []
+    stack = _Stack()
     now: Block | None = None
-    hidden = links = 0
     at, n = 0, len(page)
     while at < n:
         m = _PIECE.match(page, at)
@@ -91,48 +205,28 @@ def blocks(page: str) -> list[Block]:
         tag = m[2]
         if tag is None:
             piece = m[0]
-            if piece[0] == "<" and len(piece) > 1:
-                continue
-            if hidden:
+            if piece[0] == "<" and len(piece) > 1 or stack.hidden:
                 continue
             if now is None:
                 if piece.isspace():
                     continue
-                names = tuple(x for _, parts, _ in stack for x in parts)
-                label = next((x for _, _, x in reversed(stack) if x is not None), None)
-                now = Block(tuple(t for t, _, _ in stack), names, label)
+                now = Block(stack.top)
                 out.append(now)
             now.raw.append(piece)
-            if links:
+            if stack.links:
                 now.linked += len(piece)
             continue
         tag = tag.lower()
         if m[1]:
             if tag in BLOCK_TAGS:
                 now = None
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if depth >= 0:
-                # An inline end tag doesn't close the blocks around it.
-                if tag in BLOCK_TAGS or not any(t in BLOCK_TAGS for t, _, _ in stack[depth + 1 :]):
-                    gone = stack[depth:]
-                    del stack[depth:]
-                else:
-                    gone = [stack.pop(depth)]
-                hidden -= sum(t in HIDDEN_TAGS or t == "hidden " for t, _, _ in gone)
-                hidden -= sum("hidden " in parts for _, parts, _ in gone)
-                links -= sum(t == "a" for t, _, _ in gone)
+            stack.end(tag)
             continue
         if tag in BLOCK_TAGS:
             now = None
             shut = CLOSES.get(tag, ()) + (("p",) if tag in CLOSES_P else ())
-            while shut and stack:
-                # The nearest block decides; inline elements above it stay open only while it does.
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK_TAGS), -1)
-                if k < 0 or stack[k][0] not in shut:
-                    break
-                links -= sum(t == "a" for t, _, _ in stack[k:])
-                hidden -= sum(t in HIDDEN_TAGS for t, _, _ in stack[k:]) + sum("hidden " in parts for _, parts, _ in stack[k:])
-                del stack[k:]
+            if shut:
+                stack.shut(shut)
         elif tag == "br":
             if now is not None:
                 now.raw.append(" ")
@@ -140,21 +234,20 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID_TAGS or m[3].endswith("/"):
             continue
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            end = _RAW_ENDS[tag].search(page, at)
             at = end.end() if end else n
             continue
         if tag == "body":
             # The body shows even where the head was never closed.
-            stack, hidden, links = [], 0, 0
+            stack = _Stack()
         parts, veiled, label = _names(m[3])
-        if veiled:
-            parts, hidden = (*parts, "hidden "), hidden + 1
-        hidden += tag in HIDDEN_TAGS
-        links += tag == "a"
-        stack.append((tag, parts, label))
+        stack.push(tag, parts, veiled, label)
     return [b for b in out if not "".join(b.raw).isspace()]
 
 
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW_TAGS}
+
+
 def _step(value: float, steps: tuple[float, ...]) -> int:
     return sum(value >= s for s in steps)
 
@@ -164,25 +257,28 @@ _CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _HINTS = re.compile(r"©|\bcookies?\b|\bsubscribe\b|\bnewsletter\b|\bprivacy\b|\blog ?in\b|\bsign (?:in|up)\b|\bcopyright\b|\badvertisement\b|\bsponsored\b|\breply\b|\bshare\b|\brights reserved\b", re.I)
 
 
-def outer_features(tags: tuple[str, ...], names: tuple[str, ...]) -> list[str]:
-    """What the elements around a block say."""
-    own = next((t for t in reversed(tags) if t in BLOCK_TAGS), "")
-    f = ["bias", f"own={own}", f"named={bool(names)},deep={_step(len(tags), (3, 5, 8))}"]
-    return f + [f"in={t}" for t in sorted(set(tags) & BLOCK_TAGS)] + [f"name={x}" for x in sorted(set(names))]
+def _around(node: Node | None) -> list[str]:
+    """The features of a block's surroundings that aren't those of single elements."""
+    return ["bias", f"own={node.own if node else ''}", f"called={node.kind if node else ''}", f"called={node.kind if node else ''},own={node.own if node else ''}", f"named={bool(node and node.named)},deep={_step(node.depth if node else 0, (3, 5, 8))}"]
 
 
-def _marked(tags: tuple[str, ...]) -> bool:
-    return "article" in tags or "main" in tags
+def outer_features(node: Node | None) -> list[str]:
+    """What the elements around a block say."""
+    f = _around(node)
+    while node:
+        f += node.fresh
+        node = node.parent
+    return f
 
 
 def inner_features(b: Block, text: str, place: str, marked: bool) -> list[str]:
     """What a block's own text says, and its place on a page that does or doesn't mark an article; hints are words of short blocks."""
-    own = next((t for t in reversed(b.tags) if t in BLOCK_TAGS), "")
+    own = b.own
     size = _step(len(text), (15, 30, 60, 120, 250, 500))
     linked = _step(min(1.0, b.linked / max(1, sum(map(len, b.raw)))), (0.05, 0.3, 0.7, 0.95)) if b.linked else 0
     head = text[:200]
     return [
-        place, f"apart={marked and not _marked(b.tags)}", f"size={size}", f"linked={linked}", f"own={own},size={size}",
+        place, f"apart={marked and not b.marked}", f"size={size}", f"linked={linked}", f"own={own},size={size}",
         f"end={_ENDS.search(text, max(0, len(text) - 8)) is not None}",
         f"words={_step(text.count(' ') + 1, (2, 4, 8, 16, 32))}",
         f"hint={len(text) < 200 and _HINTS.search(text) is not None}",
@@ -197,8 +293,8 @@ def _place(k: int, n: int) -> str:
 
 def features(page: list[Block], texts: list[str]) -> list[list[str]]:
     """Binary features of each block: of the elements around it, and of the text."""
-    marked = any(_marked(b.tags) for b in page)
-    return [outer_features(b.tags, b.names) + inner_features(b, t, _place(k, len(page)), marked) for k, (b, t) in enumerate(zip(page, texts))]
+    marked = any(b.marked for b in page)
+    return [outer_features(b.node) + inner_features(b, t, _place(k, len(page)), marked) for k, (b, t) in enumerate(zip(page, texts))]
 
 
 class Field:
@@ -208,7 +304,6 @@ class Field:
         self.place: dict[str, int] = {}
         self.w = np.zeros(0)
         self.t = np.zeros((2, 2))
-        self.around: dict[tuple, float] = {}
 
     def train(self, pages: list[tuple[list[list[str]], list[int]]], rounds: int = 15, rate: float = 0.5, decay: float = 1e-4, seed: int = 4) -> Field:
         """Stochastic gradient ascent with per-weight rates on the conditional log-likelihood."""
@@ -260,18 +355,24 @@ class Field:
             pair += np.exp(a[k - 1][:, None] + self.t + (e[k] + b[k])[None, :] - z)
         return p[:, 1], pair
 
+    def _outer(self, node: Node | None) -> float:
+        """Score of a block's surroundings; sums over elements are kept with them."""
+        get, chain, up = self.weight.get, [], node
+        while up is not None and up.total is None:
+            chain.append(up)
+            up = up.parent
+        total = up.total if up is not None else 0.0
+        for x in reversed(chain):
+            total = x.total = total + sum(get(f, 0.0) for f in x.fresh)
+        return total + sum(get(f, 0.0) for f in _around(node))
+
     def scores(self, page: list[Block], texts: list[str]) -> list[float]:
-        """Score of label 1 for each block; sums over surroundings are kept, as few differ."""
-        get, around, n = self.weight.get, self.around, len(page)
-        marked = any(_marked(b.tags) for b in page)
+        """Score of label 1 for each block."""
+        get, n = self.weight.get, len(page)
+        marked = any(b.marked for b in page)
         out = []
         for k, (b, text) in enumerate(zip(page, texts)):
-            key = (b.tags, b.names)
-            e = around.get(key)
-            if e is None:
-                if len(around) >= 50_000:
-                    around.clear()
-                e = around[key] = sum(get(x, 0.0) for x in outer_features(*key))
+            e = self._outer(b.node)
             for x in inner_features(b, text, _place(k, n), marked):
                 e += get(x, 0.0)
             out.append(e)
@@ -319,21 +420,6 @@ def _worn(rng: random.Random, text: str) -> str:
     return " ".join([ws[0]] * len(ws))
 
 
-# Names that pages give to their parts.
-MAIN_NAMES = "article content main post entry story body text page primary single".split()
-PART_NAMES = {
-    "menu": "menu nav navbar navigation breadcrumb breadcrumbs topbar tabs pager pagination toc".split(),
-    "header": "header masthead banner branding logo hero toolbar search".split(),
-    "footer": "footer colophon copyright legal credits bottom".split(),
-    "sidebar": "sidebar aside widget related recommended popular trending secondary rail tags archive".split(),
-    "notice": "notice cookie cookies consent alert gdpr popup modal overlay message warning newsletter subscribe".split(),
-    "advert": "ad ads advert advertisement adsense sponsor sponsored promo promotion promoted commercial".split(),
-    "form": "form login signup search contact feedback".split(),
-    "comments": "comment comments reply replies discussion respond thread disqus".split(),
-    "share": "share social sharing follow meta byline author".split(),
-}
-
-
 def _item(rng: random.Random, kind: str) -> str:
     short = _prose(rng, rng.randint(1, 3)).rstrip(".!?")
     if kind == "menu":
@@ -367,7 +453,7 @@ def _part(rng: random.Random, kind: str) -> str:
     return f"<{tag}{named} data-label='0'>{_item(rng, kind)}</{tag}>"
 
 
-def training_pages(count: int = 700, seed: int = 11) -> list[str]:
+def training_pages(count: int = 900, seed: int = 11) -> list[str]:
     """Labelled pages: articles amid the other parts that pages have."""
     rng = random.Random(seed)
     out = []
@@ -386,7 +472,8 @@ def training_pages(count: int = 700, seed: int = 11) -> list[str]:
             inside.append(_part(rng, "comments"))
         kind = rng.random()
         name = rng.choice(MAIN_NAMES)
-        begin, end = ("<article>", "</article>") if kind < 0.5 else ("<main>", "</main>") if kind < 0.65 else (f"<div class='{name}'>", "</div>") if kind < 0.8 else (f"<div id='{name}'>", "</div>") if kind < 0.9 else ("", "")
+        name = rng.choice([name, name, f"{name}-{rng.choice(MAIN_NAMES)}", f"{rng.choice(['site', 'page', 'js', 'block'])}-{name}"])
+        begin, end = ("<article>", "</article>") if kind < 0.4 else ("<main>", "</main>") if kind < 0.55 else (f"<div class='{name}'>", "</div>") if kind < 0.8 else (f"<div id='{name}'>", "</div>") if kind < 0.92 else ("", "")
         before = [_part(rng, k) for k in rng.sample(["menu", "header", "notice", "advert", "sidebar", "form", "share"], rng.randint(0, 4))]
         after = [_part(rng, k) for k in rng.sample(["menu", "footer", "footer", "sidebar", "advert", "comments", "form", "notice", "share"], rng.randint(0, 4))]
         body = "".join([*before, begin.replace(">", " data-label='1'>"), *inside, end, *after])

@@ -1,30 +1,33 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Labelled examples, at most ``EXAMPLES`` of them drawn by a hash of doc_id (a
-documented bound), become vectors over terms: lower-cased words and the
-beginnings of words, kept where the examples' labels make them tell (a
-likelihood-ratio statistic of at least ``TELLING`` in favour of label 1, in over two
-examples; with few labels none may pass, and all texts score alike). The
-``NEAREST`` examples of a text are found exactly with a block-max inverted index:
-examples stand in blocks of ``BLOCK``, each term knows its greatest weight in each
-block, and blocks are visited from the highest bound down until no bound can
-reach the nearest ones. Votes are weighted by distance; a monotone curve fitted
-on left-one-out votes of the examples turns them into scores. Texts without any
-kept term get the rate of such examples.
+documented bound), become vectors over all their lower-cased words, of either label
+and any frequency. A word weighs ``(1 + log tf) * idf * (1 + g)``: ``g`` is the
+likelihood-ratio statistic of the word and label 1 over the examples, zero where the
+word isn't more frequent under label 1, so that words that tell draw texts together
+more than topics do. The ``NEAREST`` examples of a text are found exactly with a
+block-max inverted index: examples stand in blocks of ``BLOCK``, each word knows its
+greatest weight in each block, and blocks are visited from the highest bound down
+until no bound can reach the nearest ones.
+
+Votes are weighted by distance. A monotone curve turns them into scores; it is fitted on
+votes that each of ``SPLITS`` parts of the examples gets from a model of the other
+parts, whose words, weights and neighbours know nothing of the part. Texts
+without any word of the examples get the rate of label 1.
 
 Scoring reads each text once, whole, without a shuffle; the model is bounded by
-the number of examples.
+the number of examples and their distinct words. Examples come to the driver one by one and stay as
+counts of their words.
 
-Edge cases: null and empty texts score as texts without terms; equal distances
+Edge cases: null and empty texts score as texts without words; equal distances
 go to the example with the smaller doc_id; repeated label rows count once per
-(doc_id, label); labels that are null are left out; without examples or with one
-label only, all scores are the rate of label 1 (0 if there are none); extra
-columns are not read.
+(doc_id, label); of several texts of one doc_id the least is taken; labels that are
+null are left out; a null doc_id has no label; without examples or with one label only, all scores
+are the rate of label 1 (0 if there are none); extra columns are not read.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import Counter
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,172 +44,192 @@ HELD_OUT = 2
 EXAMPLES = 6000
 NEAREST = 15
 BLOCK = 64
-TELLING = 25.0
-STEMS = (3, 4, 5, 6, 7)
+SPLITS = 5
 CUTOFF = 0.3
-MEMO = 300_000
+#: Scores of texts that a worker remembers, for copies.
+MEMO = 20_000
 
 _WORDS = re.compile(r"[^\W_]+").findall
 
+Example = tuple[int | None, Counter, int]
+
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def terms(word: str) -> list[str]:
-    """A word and its beginnings."""
-    return [word + "$", *(word[:n] for n in STEMS if len(word) >= n)]
+def words(text: str | None) -> Counter:
+    return Counter(_WORDS(text.lower())) if text else Counter()
 
 
-def _statistic(k1: int, n1: int, k0: int, n0: int) -> float:
-    """Signed likelihood ratio of a term in k1 of n1 and k0 of n0 examples."""
+def telling(k1: np.ndarray, n1: int, k0: np.ndarray, n0: int) -> np.ndarray:
+    """Likelihood-ratio statistic of words in k1 of n1 and k0 of n0 examples; 0 where they don't speak for the first kind."""
+    if not n1 or not n0:
+        return np.zeros(len(k1))
 
-    def side(k: int, n: int, p: float) -> float:
-        return (k * math.log(k / n / p) if k else 0.0) + ((n - k) * math.log((n - k) / n / (1 - p)) if n > k else 0.0)
+    def side(k: np.ndarray, n: int, p: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(k > 0, k * np.log(k / n / p), 0.0) + np.where(n > k, (n - k) * np.log((n - k) / n / (1 - p)), 0.0)
 
     p = (k1 + k0) / (n1 + n0)
-    if p in (0.0, 1.0):
-        return 0.0
-    g = 2 * (side(k1, n1, p) + side(k0, n0, p))
-    return g if k1 * n0 > k0 * n1 else -g
+    return np.where(k1 * n0 > k0 * n1, 2 * (side(k1, n1, p) + side(k0, n0, p)), 0.0)
 
 
-class Model:
-    """Index over labelled examples; ``score`` gives a text's score and its evidence."""
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
-    def __init__(self, examples: list[tuple[int, str | None, int]]):
-        examples = sorted(examples, key=lambda e: (e[0] is None, e[0] or 0, e[2]))
-        self.ids = [e[0] for e in examples]
+
+class Index:
+    """Block-max inverted index over examples in the order of doc_id: finds the exact nearest ones and their vote."""
+
+    def __init__(self, examples: list[Example]):
+        n = len(examples)
         self.y = np.array([e[2] for e in examples], float)
-        n1, n0 = int(self.y.sum()), int(len(self.y) - self.y.sum())
-        self.rate = n1 / len(self.y) if len(self.y) else 0.0
+        n1 = int(self.y.sum())
+        self.rate = n1 / n if n else 0.0
         self.place: dict[str, int] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.cache: dict[tuple, tuple] = {}
-        counts = [Counter(_WORDS((e[1] or "").lower())) for e in examples]
-        if n1 and n0:
-            seen = {1: Counter(), 0: Counter()}
-            for c, y in zip(counts, self.y):
-                seen[int(y)].update({t for w in c for t in terms(w)})
-            told = {t: _statistic(seen[1][t], n1, seen[0][t], n0) for t in seen[1].keys() | seen[0].keys() if seen[1][t] + seen[0][t] > 2}
-            # Only terms in favour of label 1 make vectors: what speaks against it is their absence.
-            self.place = {t: k for k, t in enumerate(sorted(t for t, g in told.items() if g >= TELLING))}
-        self.names = list(self.place)
-        n = len(examples)
-        rows = [self._tf(c.elements()) for c in counts]
-        df = np.zeros(len(self.place))
-        for r in rows:
-            df[list(r)] += 1
-        self.idf = np.log((1 + n) / (1 + df)) + 1 if n else df
-        self.blocks = -(-n // BLOCK)
-        self.most = np.zeros((len(self.place), self.blocks))
-        posts: list[dict[int, list[tuple[int, float]]]] = [{} for _ in self.place]
-        self.has = np.zeros(n, bool)
-        for k, r in enumerate(rows):
-            t, w = self._vector(r)
-            self.has[k] = len(t) > 0
-            for a, b in zip(t.tolist(), w.tolist()):
-                posts[a].setdefault(k // BLOCK, []).append((k, b))
-                self.most[a, k // BLOCK] = max(self.most[a, k // BLOCK], b)
-        self.posts = [{b: (np.array([x[0] for x in v]), np.array([x[1] for x in v])) for b, v in p.items()} for p in posts]
-        none = ~self.has
-        self.bare = float((self.y[none].sum() + self.rate) / (none.sum() + 1)) if n else 0.0
-        self._calibrate(rows)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}, "cache": {}}
-
-    def _tf(self, words) -> dict[int, int]:
-        memo, place, out = self.memo, self.place, {}
-        for w in words:
-            f = memo.get(w)
-            if f is None:
-                f = tuple(place[t] for t in terms(w) if t in place)
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[w] = f
-            for k in f:
-                out[k] = out.get(k, 0) + 1
-        return out
-
-    def _vector(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(tf), np.int64)
-        w = (1 + np.log(np.array([tf[k] for k in t.tolist()], float))) * self.idf[t]
+        for _, c, _ in examples:
+            for w in c:
+                self.place.setdefault(w, len(self.place))
+        sizes = np.array([len(c) for _, c, _ in examples], np.int64)
+        word = np.fromiter((self.place[w] for _, c, _ in examples for w in c), np.int64, int(sizes.sum()))
+        tf = np.fromiter((k for _, c, _ in examples for k in c.values()), float, len(word))
+        of = np.repeat(np.arange(n), sizes)
+        df = np.bincount(word, minlength=len(self.place))
+        k1 = np.bincount(word, weights=self.y[of], minlength=len(self.place))
+        self.told = telling(k1, n1, df - k1, n - n1)
+        self.scale = (np.log((1 + n) / (1 + df)) + 1) * (1 + self.told)
+        weight = (1 + np.log(tf)) * self.scale[word]
+        norm = np.sqrt(np.bincount(of, weights=weight * weight, minlength=n))
+        weight /= np.where(norm > 0, norm, 1)[of]
+        # Examples with the same strongest word share blocks, so that bounds are tight; ``row`` is an example's seat.
+        lead = np.full(n, -1)
+        by = np.lexsort((weight, of))
+        ends = np.cumsum(sizes)
+        lead[sizes > 0] = word[by][ends[sizes > 0] - 1]
+        self.seat = np.lexsort((np.arange(n), lead, self.y))
+        row = np.empty(n, np.int64)
+        row[self.seat] = np.arange(n)
+        order = np.lexsort((row[of], word))
+        self.row, self.weight = row[of][order], weight[order]
+        word = word[order]
+        # An entry is a word in a block: its postings and the greatest of their weights.
+        key = word * (n // BLOCK + 1) + self.row // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.block = self.row[first] // BLOCK
+        self.begin, self.count = first, np.diff(np.append(first, len(key)))
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.entry = np.searchsorted(word[first], np.arange(len(self.place) + 1))
+        self.blocks = n // BLOCK + 1
+
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """The known words of a text and their weights."""
+        place = self.place
+        some = [(place[w], k) for w, k in counts.items() if w in place]
+        some.sort()
+        t = np.array([x for x, _ in some], np.int64)
+        w = (1 + np.log(np.array([k for _, k in some], float))) * self.scale[t]
         return t, w / (np.sqrt((w * w).sum()) or 1.0)
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, leave: int = -1) -> list[tuple[float, int]]:
-        """The exact nearest examples by cosine, as (-similarity, place), nearest first."""
-        bound = w @ self.most[t]
+    def nearest(self, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(similarities, places of examples) of the exact nearest ones, nearest first."""
+        sizes = self.entry[t + 1] - self.entry[t]
+        e = _spread(self.entry[t], sizes)
+        q = np.repeat(w, sizes)
+        block = self.block[e]
+        bound = np.bincount(block, weights=q * self.most[e], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(best) == NEAREST and bound[b] < -best[-1][0] - 1e-12):
-                break
-            low = b * BLOCK
-            s = np.zeros(min(BLOCK, len(self.y) - low))
-            for a, q in zip(t.tolist(), w.tolist()):
-                p = self.posts[a].get(b)
-                if p is not None:
-                    s[p[0] - low] += q * p[1]
-            hits = [(-round(x, 12), low + k) for k, x in enumerate(s.tolist()) if x > 0 and low + k != leave]
-            best = sorted(best + hits)[:NEAREST]
-        return best
-
-    def _vote(self, near: list[tuple[float, int]], size: int) -> float:
-        """Votes weighted by distance, drawn to the rate of bare texts by the missing neighbours."""
-        mass = total = 0.0
-        for s, k in near:
-            v = 1.0 / (0.05 + max(0.0, 1.0 + s))
-            mass += v
-            total += v * self.y[k]
-        return (total + 0.5 * self.bare) / (mass + 0.5)
-
-    def _calibrate(self, rows: list[dict[int, int]]) -> None:
-        """A monotone curve from votes to rates, by pooling adjacent violators over left-one-out votes."""
+        order = order[bound[order] > 0]
+        scores, rows, at, step = np.zeros(0), np.zeros(0, np.int64), 0, 6
+        while at < len(order):
+            if len(scores) >= NEAREST:
+                order = order[: at + int(np.count_nonzero(bound[order[at:]] >= scores[NEAREST - 1] - 1e-9))]
+                if at >= len(order):
+                    break
+            take = np.zeros(self.blocks, bool)
+            take[order[at : at + step]] = True
+            on = np.flatnonzero(take[block])
+            n = self.count[e[on]]
+            p = _spread(self.begin[e[on]], n)
+            s = np.bincount(self.row[p], weights=np.repeat(q[on], n) * self.weight[p])
+            # Only those that can be among the nearest are rounded and put in order.
+            least = np.partition(s, len(s) - NEAREST)[len(s) - NEAREST] - 1e-9 if len(s) > NEAREST else 0.0
+            hit = np.flatnonzero((s > 0) & (s >= least))
+            scores, rows = np.concatenate([scores, np.round(s[hit], 12)]), np.concatenate([rows, self.seat[hit]])
+            best = np.lexsort((rows, -scores))[:NEAREST]
+            scores, rows = scores[best], rows[best]
+            at, step = at + step, step * 4
+        return scores, rows
+
+    def vote(self, near: tuple[np.ndarray, np.ndarray]) -> float:
+        """Votes weighted by distance, drawn to the rate of label 1 by half a vote."""
+        v = 1.0 / (0.05 + np.maximum(0.0, 1.0 - near[0]))
+        return float((v * self.y[near[1]]).sum() + 0.5 * self.rate) / float(v.sum() + 0.5)
+
+
+def monotone(pairs: list[tuple[float, float]], rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """A monotone curve from votes to rates of label 1, by pooling adjacent violators; each pool leans on ``rate`` by one example."""
+    pools: list[list[float]] = []
+    for v, y in sorted(pairs):
+        pools.append([y, 1.0, v])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            y2, n2, v2 = pools.pop()
+            p = pools[-1]
+            pools[-1] = [p[0] + y2, p[1] + n2, (p[2] * p[1] + v2 * n2) / (p[1] + n2)]
+    return np.array([p[2] for p in pools]), np.array([(p[0] + rate) / (p[1] + 1) for p in pools])
+
+
+class Model:
+    """Examples (doc_id, words, label) made into an index and a curve; ``score`` gives a text's score and its evidence."""
+
+    def __init__(self, examples: list[Example]):
+        examples = sorted(examples, key=lambda e: (e[0] is None, e[0] or 0, e[2]))
+        self.ids = [e[0] for e in examples]
+        self.index = Index(examples)
         pairs = []
-        for k, r in enumerate(rows):
-            if r:
-                t, w = self._vector(r)
-                pairs.append((self._vote(self.nearest(t, w, leave=k), len(r)), self.y[k]))
-        pairs.sort()
-        pools: list[list[float]] = []
-        for v, y in pairs:
-            pools.append([y, 1.0, v])
-            while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
-                y2, n2, v2 = pools.pop()
-                p = pools[-1]
-                pools[-1] = [p[0] + y2, p[1] + n2, (p[2] * p[1] + v2 * n2) / (p[1] + n2)]
-        self.curve_x = np.array([p[2] for p in pools])
-        self.curve_y = np.array([(p[0] + self.rate) / (p[1] + 1) for p in pools])
+        for part in range(SPLITS):
+            others = Index([e for k, e in enumerate(examples) if k % SPLITS != part])
+            for _, c, y in examples[part::SPLITS]:
+                t, w = others.vector(c)
+                if len(t):
+                    pairs.append((others.vote(others.nearest(t, w)), y))
+        both = 0 < self.index.rate < 1
+        self.curve = monotone(pairs, self.index.rate) if both else (np.zeros(0), np.zeros(0))
+        self.names = list(self.index.place)
+        self.memo: dict[bytes, tuple] = {}
 
     def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
-        """Score, doc_ids of the nearest examples, and the terms that were met."""
-        tf = self._tf(_WORDS(text.lower())) if text else {}
-        if not tf:
-            return self.bare, [], []
-        key = tuple(sorted(tf.items()))
-        got = self.cache.get(key)
+        """Score, doc_ids of the nearest examples, and the text's words that speak for label 1, the strongest first."""
+        key = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+        got = self.memo.get(key)
         if got is None:
-            t, w = self._vector(tf)
-            near = self.nearest(t, w)
-            vote = self._vote(near, len(tf))
-            score = float(np.interp(vote, self.curve_x, self.curve_y)) if len(self.curve_x) else self.bare
-            # The vote itself breaks ties inside a pool, so that scores rank.
-            score = min(1.0, max(0.0, 0.98 * score + 0.02 * vote))
-            got = (score, [self.ids[k] for _, k in near], [self.names[k] for k in t.tolist()])
-            if len(self.cache) >= 20_000:
-                self.cache.clear()
-            self.cache[key] = got
+            got = self._score(words(text))
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[key] = got
         return got
 
-
-def examples(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> list[tuple[int, str | None, int]]:
-    """At most ``limit`` labelled texts from outside the held-out fold, drawn by a hash of doc_id."""
+    def _score(self, counts: Counter) -> tuple[float, list[int], list[str]]:
+        t, w = self.index.vector(counts)
+        x, y = self.curve
+        if not len(t) or not len(x):
+            return self.index.rate, [], []
+        near = self.index.nearest(t, w)
+        vote = self.index.vote(near)
+        # The vote itself breaks ties inside a pool, so that scores rank.
+        score = min(1.0, max(0.0, 0.98 * float(np.interp(vote, x, y)) + 0.02 * vote))
+        told = [k for k in np.argsort(-w, kind="stable").tolist() if self.index.told[t[k]] > 0]
+        return score, [self.ids[k] for k in near[1].tolist()], [self.names[t[k]] for k in told]
+
+
+def examples(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> list[Example]:
+    """At most ``limit`` labelled texts from outside the held-out fold, drawn by a hash of doc_id, as counts of words."""
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     known = labels.filter(F.col("toxic").isin(0, 1) & (fold != HELD_OUT)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     drawn = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "toxic").limit(limit)
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id", "toxic"])
-    return [(r["doc_id"], r["text"], r["toxic"]) for r in texts.select("doc_id", "text", "toxic").collect()]
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return [(r["doc_id"], words(r["text"]), r["toxic"]) for r in texts.toLocalIterator()]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES, evidence: bool = False) -> DataFrame:
