@@ -31,7 +31,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +43,11 @@ FOLDS = 4
 HELD_OUT = 2
 EXAMPLES = 6000
 NEAREST = 15
-BLOCK = 64
+BLOCK = 128
 SPLITS = 5
+#: A word in over one of so many examples is common; texts that are compared with common words together.
+COMMON = 16
+TOGETHER = 64
 CUTOFF = 0.3
 #: Scores of texts that a worker remembers, for copies.
 MEMO = 20_000
@@ -80,24 +83,38 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
+class Coded:
+    """Examples with words as numbers, in the order of doc_id; the numbers hold for all parts of them."""
+
+    def __init__(self, examples: Iterable[Example]):
+        self.place: dict[str, int] = {}
+        rows = []
+        for i, counts, y in examples:
+            ids = np.array([self.place.setdefault(w, len(self.place)) for w in counts], np.int32)
+            rows.append((i, ids, np.array(list(counts.values()), np.int32), y))
+        rows.sort(key=lambda e: (e[0] is None, e[0] or 0, e[3]))
+        self.rows = rows
+
+
 class Index:
-    """Block-max inverted index over examples in the order of doc_id: finds the exact nearest ones and their vote."""
+    """Block-max inverted index over examples: finds the exact nearest ones and their vote.
 
-    def __init__(self, examples: list[Example]):
-        n = len(examples)
-        self.y = np.array([e[2] for e in examples], float)
+    Words in over one of ``COMMON`` examples have all their weights side by side, so that what they add to a
+    block's bound is known exactly; the others' greatest weights in a block bound the rest.
+    """
+
+    def __init__(self, place: dict[str, int], rows: list[tuple]):
+        self.place, n, kinds = place, len(rows), len(place)
+        self.y = np.array([y for _, _, _, y in rows], float)
         n1 = int(self.y.sum())
         self.rate = n1 / n if n else 0.0
-        self.place: dict[str, int] = {}
-        for _, c, _ in examples:
-            for w in c:
-                self.place.setdefault(w, len(self.place))
-        sizes = np.array([len(c) for _, c, _ in examples], np.int64)
-        word = np.fromiter((self.place[w] for _, c, _ in examples for w in c), np.int64, int(sizes.sum()))
-        tf = np.fromiter((k for _, c, _ in examples for k in c.values()), float, len(word))
+        sizes = np.array([len(ids) for _, ids, _, _ in rows], np.int64)
+        word = np.concatenate([np.zeros(0, np.int32), *[ids for _, ids, _, _ in rows]]).astype(np.int64)
+        tf = np.concatenate([np.zeros(0, np.int32), *[k for _, _, k, _ in rows]]).astype(float)
         of = np.repeat(np.arange(n), sizes)
-        df = np.bincount(word, minlength=len(self.place))
-        k1 = np.bincount(word, weights=self.y[of], minlength=len(self.place))
+        df = np.bincount(word, minlength=kinds)
+        k1 = np.bincount(word, weights=self.y[of], minlength=kinds)
+        self.seen = df > 0
         self.told = telling(k1, n1, df - k1, n - n1)
         self.scale = (np.log((1 + n) / (1 + df)) + 1) * (1 + self.told)
         weight = (1 + np.log(tf)) * self.scale[word]
@@ -111,55 +128,80 @@ class Index:
         self.seat = np.lexsort((np.arange(n), lead, self.y))
         row = np.empty(n, np.int64)
         row[self.seat] = np.arange(n)
+        self.blocks = n // BLOCK + 1
+        often = np.flatnonzero(df > max(2, n / COMMON))
+        self.common = np.full(kinds, -1)
+        self.common[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.blocks * BLOCK))
+        on = self.common[word] >= 0
+        self.dense[self.common[word[on]], row[of[on]]] = weight[on]
+        word, of, weight = word[~on], of[~on], weight[~on]
         order = np.lexsort((row[of], word))
-        self.row, self.weight = row[of][order], weight[order]
-        word = word[order]
+        self.row, self.weight, word = row[of][order], weight[order], word[order]
         # An entry is a word in a block: its postings and the greatest of their weights.
-        key = word * (n // BLOCK + 1) + self.row // BLOCK
-        first = np.flatnonzero(np.diff(key, prepend=-1))
+        first = np.flatnonzero(np.diff(word * self.blocks + self.row // BLOCK, prepend=-1))
         self.block = self.row[first] // BLOCK
-        self.begin, self.count = first, np.diff(np.append(first, len(key)))
+        self.begin, self.count = first, np.diff(np.append(first, len(word)))
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.entry = np.searchsorted(word[first], np.arange(len(self.place) + 1))
-        self.blocks = n // BLOCK + 1
+        self.entry = np.searchsorted(word[first], np.arange(kinds + 1))
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """The known words of a text and their weights."""
-        place = self.place
-        some = [(place[w], k) for w, k in counts.items() if w in place]
-        some.sort()
-        t = np.array([x for x, _ in some], np.int64)
-        w = (1 + np.log(np.array([k for _, k in some], float))) * self.scale[t]
-        return t, w / (np.sqrt((w * w).sum()) or 1.0)
-
-    def nearest(self, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(similarities, places of examples) of the exact nearest ones, nearest first."""
+        get = self.place.get
+        t = np.array([get(w, -1) for w in counts], np.int64)
+        return self.coded(t, np.array(list(counts.values()), float))
+
+    def coded(self, t: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known = np.flatnonzero((t >= 0) & self.seen[t]) if len(t) else np.zeros(0, np.int64)
+        t = t[known]
+        w = (1 + np.log(tf[known])) * self.scale[t]
+        order = np.argsort(t)
+        return t[order], w[order] / (np.sqrt((w * w).sum()) or 1.0)
+
+    def shared(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What common words add to the similarity of each vector and each example, by seats."""
+        q = np.zeros((len(vectors), len(self.dense)))
+        for k, (t, w) in enumerate(vectors):
+            c = self.common[t]
+            q[k, c[c >= 0]] = w[c >= 0]
+        return q @ self.dense
+
+    def nearest(self, t: np.ndarray, w: np.ndarray, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(similarities, places of examples) of the exact nearest ones, nearest first; ``base`` is the vector's row of ``shared``."""
+        if base is None:
+            base = self.shared([(t, w)])[0]
+        rare = self.common[t] < 0
+        t, w = t[rare], w[rare]
         sizes = self.entry[t + 1] - self.entry[t]
         e = _spread(self.entry[t], sizes)
         q = np.repeat(w, sizes)
         block = self.block[e]
-        bound = np.bincount(block, weights=q * self.most[e], minlength=self.blocks)
+        by_block = base.reshape(-1, BLOCK)
+        bound = by_block.max(axis=1) + np.bincount(block, weights=q * self.most[e], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        scores, rows, at, step = np.zeros(0), np.zeros(0, np.int64), 0, 6
+        scores, rows, at, step = np.zeros(0), np.zeros(0, np.int64), 0, 8
         while at < len(order):
             if len(scores) >= NEAREST:
                 order = order[: at + int(np.count_nonzero(bound[order[at:]] >= scores[NEAREST - 1] - 1e-9))]
                 if at >= len(order):
                     break
-            take = np.zeros(self.blocks, bool)
-            take[order[at : at + step]] = True
-            on = np.flatnonzero(take[block])
+            visit = np.sort(order[at : at + step])
+            low = np.full(self.blocks, -1)
+            low[visit] = np.arange(len(visit))
+            on = np.flatnonzero(low[block] >= 0)
             n = self.count[e[on]]
             p = _spread(self.begin[e[on]], n)
-            s = np.bincount(self.row[p], weights=np.repeat(q[on], n) * self.weight[p])
+            seats = self.row[p]
+            s = by_block[visit].ravel() + np.bincount(low[seats // BLOCK] * BLOCK + seats % BLOCK, weights=np.repeat(q[on], n) * self.weight[p], minlength=len(visit) * BLOCK)
             # Only those that can be among the nearest are rounded and put in order.
             least = np.partition(s, len(s) - NEAREST)[len(s) - NEAREST] - 1e-9 if len(s) > NEAREST else 0.0
             hit = np.flatnonzero((s > 0) & (s >= least))
-            scores, rows = np.concatenate([scores, np.round(s[hit], 12)]), np.concatenate([rows, self.seat[hit]])
+            scores = np.concatenate([scores, np.round(s[hit], 12)])
+            rows = np.concatenate([rows, self.seat[visit[hit // BLOCK] * BLOCK + hit % BLOCK]])
             best = np.lexsort((rows, -scores))[:NEAREST]
             scores, rows = scores[best], rows[best]
-            at, step = at + step, step * 4
+            at, step = at + step, step * 8
         return scores, rows
 
     def vote(self, near: tuple[np.ndarray, np.ndarray]) -> float:
@@ -181,55 +223,65 @@ def monotone(pairs: list[tuple[float, float]], rate: float) -> tuple[np.ndarray,
 
 
 class Model:
-    """Examples (doc_id, words, label) made into an index and a curve; ``score`` gives a text's score and its evidence."""
+    """Examples (doc_id, words, label) made into an index and a curve; ``scores`` gives texts' scores and their evidence."""
 
-    def __init__(self, examples: list[Example]):
-        examples = sorted(examples, key=lambda e: (e[0] is None, e[0] or 0, e[2]))
-        self.ids = [e[0] for e in examples]
-        self.index = Index(examples)
+    def __init__(self, examples: Iterable[Example]):
+        coded = Coded(examples)
+        rows, place = coded.rows, coded.place
+        self.ids = [e[0] for e in rows]
+        self.index = Index(place, rows)
         pairs = []
         for part in range(SPLITS):
-            others = Index([e for k, e in enumerate(examples) if k % SPLITS != part])
-            for _, c, y in examples[part::SPLITS]:
-                t, w = others.vector(c)
-                if len(t):
-                    pairs.append((others.vote(others.nearest(t, w)), y))
+            others = Index(place, [e for k, e in enumerate(rows) if k % SPLITS != part])
+            mine = [(others.coded(ids.astype(np.int64), tf.astype(float)), y) for _, ids, tf, y in rows[part::SPLITS]]
+            mine = [x for x in mine if len(x[0][0])]
+            for k in range(0, len(mine), TOGETHER):
+                some = mine[k : k + TOGETHER]
+                for (v, y), base in zip(some, others.shared([v for v, _ in some])):
+                    pairs.append((others.vote(others.nearest(*v, base)), y))
         both = 0 < self.index.rate < 1
         self.curve = monotone(pairs, self.index.rate) if both else (np.zeros(0), np.zeros(0))
-        self.names = list(self.index.place)
+        self.names = list(place)
         self.memo: dict[bytes, tuple] = {}
 
     def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
-        """Score, doc_ids of the nearest examples, and the text's words that speak for label 1, the strongest first."""
-        key = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
-        got = self.memo.get(key)
-        if got is None:
-            got = self._score(words(text))
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[key] = got
-        return got
-
-    def _score(self, counts: Counter) -> tuple[float, list[int], list[str]]:
-        t, w = self.index.vector(counts)
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], list[str]]]:
+        """Score, doc_ids of the nearest examples, and the words that speak for label 1, the strongest first, of each text."""
+        keys = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+        out: dict[bytes, tuple] = {k: self.memo[k] for k in keys if k in self.memo}
+        new = {k: t for k, t in zip(keys, texts) if k not in out}
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+        for at in range(0, len(new), TOGETHER):
+            some = list(new)[at : at + TOGETHER]
+            vectors = [self.index.vector(words(new[k])) for k in some]
+            for k, v, base in zip(some, vectors, self.index.shared(vectors)):
+                out[k] = self.memo[k] = self._score(*v, base)
+        return [out[k] for k in keys]
+
+    def _score(self, t: np.ndarray, w: np.ndarray, base: np.ndarray) -> tuple[float, list[int], list[str]]:
         x, y = self.curve
         if not len(t) or not len(x):
             return self.index.rate, [], []
-        near = self.index.nearest(t, w)
+        near = self.index.nearest(t, w, base)
         vote = self.index.vote(near)
         # The vote itself breaks ties inside a pool, so that scores rank.
         score = min(1.0, max(0.0, 0.98 * float(np.interp(vote, x, y)) + 0.02 * vote))
-        told = [k for k in np.argsort(-w, kind="stable").tolist() if self.index.told[t[k]] > 0]
-        return score, [self.ids[k] for k in near[1].tolist()], [self.names[t[k]] for k in told]
+        told = np.flatnonzero(self.index.told[t] > 0)
+        told = told[np.argsort(-w[told], kind="stable")]
+        return score, [self.ids[k] for k in near[1].tolist()], [self.names[k] for k in t[told].tolist()]
 
 
-def examples(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> list[Example]:
+def examples(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> Iterator[Example]:
     """At most ``limit`` labelled texts from outside the held-out fold, drawn by a hash of doc_id, as counts of words."""
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     known = labels.filter(F.col("toxic").isin(0, 1) & (fold != HELD_OUT)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     drawn = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "toxic").limit(limit)
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return [(r["doc_id"], words(r["text"]), r["toxic"]) for r in texts.toLocalIterator()]
+    for r in texts.toLocalIterator():
+        yield r["doc_id"], words(r["text"]), r["toxic"]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES, evidence: bool = False) -> DataFrame:
@@ -241,7 +293,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES, evidence
         m = shared.value
         for b in batches:
             ids = b.column(0).to_pylist()
-            got = [m.score(t.as_py()) for t in b.column(1)]
+            got = m.scores(b.column(1).to_pylist())
             out = [b.column(0), pa.array([held_out(i) for i in ids]), pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= CUTOFF) for g in got], pa.int32())]
             names = ["doc_id", "held_out", "score", "predicted"]
             if evidence:

@@ -281,6 +281,7 @@ def test_toxicity_against_brute_force(monkeypatch):
     import numpy as np
 
     monkeypatch.setattr(toxicity, "BLOCK", 7)
+    monkeypatch.setattr(toxicity, "TOGETHER", 5)
     rng = random.Random(4)
     plain = ["".join(rng.choices("abcd", k=3)) for _ in range(50)]
     examples = [(None if n == 60 else n, toxicity.words(" ".join(rng.choices(plain, k=rng.randint(1, 12)) + ["bad", "worse"][: n % 3 == 0 and rng.randint(0, 2)])), int(n % 3 == 0)) for n in range(90)]
