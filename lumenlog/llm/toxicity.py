@@ -152,7 +152,8 @@ class Index:
         return self.coded(t, np.array(list(counts.values()), float))
 
     def coded(self, t: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known = np.flatnonzero((t >= 0) & self.seen[t]) if len(t) else np.zeros(0, np.int64)
+        known = np.flatnonzero(t >= 0)
+        known = known[self.seen[t[known]]]
         t = t[known]
         w = (1 + np.log(tf[known])) * self.scale[t]
         order = np.argsort(t)
