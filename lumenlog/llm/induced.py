@@ -1,7 +1,7 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
 Suffixes are classified as smaller or larger than their right neighbour; the
-leftmost-smaller substrings are sorted by inducing, named, and the string of
+leftmost-smaller substrings are sorted, named, and the string of
 names is sorted recursively, at any size, until names are unique; the full order is
 induced from theirs. Inducing visits buckets in order. A bucket with many suffixes moves
 its entries on together, wave by wave, instead of one at a time. Neighbouring buckets
@@ -173,20 +173,44 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np
     return sa
 
 
-def _differ(t: np.ndarray, q: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For sorted leftmost-smaller substrings: whether each differs from the one before."""
-    differ = np.ones(len(q), bool)
-    live = np.flatnonzero(size[1:] == size[:-1]) + 1
-    o = 0
+def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> tuple[np.ndarray, int]:
+    """The leftmost-smaller substrings' places in their order, equal ones alike, and how many different ones there are.
+
+    A substring reaches to the next one's first letter, the last to the end of the text, which is less than any letter.
+    Letters are compared with their kind, a larger suffix before a smaller one, so that none is the beginning of another:
+    as many as fit are packed into one number, and those still tied go on with their next letters.
+    """
+    m = len(lms)
+    bits = int(2 * sigma + 1).bit_length()
+    per = 63 // bits
+    code = np.zeros(len(t) + per + 1, np.uint32)
+    code[: len(t)] = (t.astype(np.uint32) + np.uint32(1)) * np.uint32(2) + small
+    size = np.append(np.diff(lms) + 1, len(t) - lms[-1] + 1)
+    rank = np.zeros(m, np.int64)
+    live, at = np.arange(m), 0
     while len(live):
-        x, y = q[live], q[live - 1]
-        same = t[x + o] == t[y + o]
-        live = live[same]
-        over = size[live] == o + 1
-        differ[live[over]] = False
-        live = live[~over]
-        o += 1
-    return differ
+        key = np.zeros(len(live), np.int64)
+        for k in range(at, at + per):
+            key <<= bits
+            key |= np.where(k < size[live], code[np.minimum(lms[live] + k, len(code) - 1)], 0)
+        order = np.lexsort((key, rank[live])) if at else np.argsort(key)
+        live, key = live[order], key[order]
+        group = rank[live]
+        new = np.ones(len(live), bool)
+        fresh = np.ones(len(live), bool)
+        np.not_equal(group[1:], group[:-1], out=new[1:])
+        np.logical_or(new[1:], key[1:] != key[:-1], out=fresh[1:])
+        here = np.arange(len(live))
+        head = np.maximum.accumulate(np.where(fresh, here, 0))
+        rank[live] = group + head - np.maximum.accumulate(np.where(new, here, 0))
+        at += per
+        tied = ~fresh
+        tied[:-1] |= ~fresh[1:]
+        live = live[tied & (size[live] > at)]
+    heads = np.zeros(m, bool)
+    heads[rank] = True
+    place = np.cumsum(heads) - 1
+    return place[rank], int(place[-1]) + 1
 
 
 def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
@@ -198,23 +222,13 @@ def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
     is_lms = np.zeros(n, bool)
     is_lms[1:] = small[1:] & ~small[:-1]
     lms = np.flatnonzero(is_lms).astype(np.int32)
-    if len(lms) == 0:
-        return _induce(t, small, lms, sigma)
-    first = _induce(t, small, lms[np.argsort(t[lms], kind="stable")], sigma)
-    q = first[is_lms[first]]
-    del first
     if len(lms) > 1:
-        size = np.zeros(n + 1, np.int32)
-        size[lms[:-1]] = np.diff(lms) + 1
-        # The last one ends with the text, as no other does: a size of its own.
-        names = np.cumsum(_differ(t, q, np.where(q == lms[-1], -1, size[q]))) - 1
-        total = int(names[-1]) + 1
+        names, total = _names(t, small, lms, sigma)
         if total < len(lms):
-            of = np.empty(n, np.int32)
-            of[q] = names
-            reduced = of[lms]
-            q = lms[suffix_array(reduced.astype(np.uint16 if total <= 65536 else np.int32), total)]
-    return _induce(t, small, q, sigma)
+            lms = lms[suffix_array(names.astype(np.uint16 if total <= 65536 else np.int32), total)]
+        else:
+            lms = lms[np.argsort(names)]
+    return _induce(t, small, lms, sigma)
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
