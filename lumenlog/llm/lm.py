@@ -20,7 +20,8 @@ the corpus; only that grid and two totals reach the driver.
 Edge cases: null and empty texts have one token, the end; the first token
 follows an end; with no training documents N and V are 0 and every score is 0
 per token; repeated rows count and are scored each; extra columns are not read;
-a null doc_id counts as an empty text for its fold.
+a null doc_id counts as an empty text for its fold; a very long text is one chunk's
+work, as its tokens, several times its size in memory.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ cut into runs, the others are removed whole (if they have 100 bytes).
 
 Edge cases: null and empty texts return zeros and the hash of nothing; texts
 under 100 bytes lose nothing; of rows with the same doc_id and text one counts as
-first; rows with a null doc_id come before all others; an empty table gives an
+first; rows with a null doc_id come before all others; a very long text is one chunk's
+work, as its bytes and their hashes, several times its size in memory; an empty table gives an
 empty result; extra columns are not read.
 """
 
