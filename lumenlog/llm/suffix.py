@@ -3,10 +3,12 @@
 A byte is removed if it lies in a 100-byte string that also starts earlier
 (smaller doc_id, or the same document further left) in the input.
 
-1. Every 100-byte window has an anchor: the least hash of its 16-byte grams.
+1. Every 100-byte window has an anchor: the least hash of its 40-byte grams.
    Equal windows have equal anchors. Chunks of documents send their distinct
    anchors to the parts of the key space, which answer which ones occur in more
-   than one run of windows; text under other anchors can't repeat.
+   than one run of windows; text under other anchors can't repeat. Grams are of
+   several words, as shorter ones, of two or three, are met by chance the more
+   often the larger the input is, and send text to shards that holds no repeat.
 2. Chunks cut out the runs of windows under repeated anchors and send each
    distinct run once, with its first place, to the shard of its anchor. Anchors
    with up to ``FEW`` runs go to a shard chosen by the set of chunks that hold
@@ -49,7 +51,8 @@ from lumenlog.llm.hashing import mix64, sliding_min, window_hashes
 from lumenlog.llm.induced import permuted_prefixes, suffix_array
 
 LENGTH = 100
-GRAM = 16
+#: Bytes of an anchor: two fifths of a window leave an anchor every 32 bytes.
+GRAM = 40
 #: Runs of anchors with at most this many are joined with their neighbours.
 FEW = 8
 #: An anchor with more runs than this is dealt window by window.
@@ -382,6 +385,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     ``rest``: the kept text and a struct of the other columns of ``docs`` follow; then rows alike in
     doc_id and text are one row.
     """
+    gram = min(gram, length)
     docs = folded(docs if rest else docs.select("doc_id", "text"))
     total = text_bytes(docs)
     chunks, parts = counts_for(total, CHUNK_BYTES)
